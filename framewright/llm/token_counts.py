@@ -66,7 +66,7 @@ def counter(tokenizer: str):
         return [len(x) for x in made.encode_batch(texts, add_special_tokens=False)]
 
     if chunks.by_chunks(tokenizer):
-        memo = chunks.ChunkMemo(lengths)
+        memo = chunks.memo_of(tokenizer, "count", lambda: chunks.ChunkMemo(made, len, sum, not _lowers(tokenizer)))
         return lambda text: sum(memo.of(text))
     return lambda text: lengths([text])[0]
 

@@ -12,7 +12,7 @@ A file holds documents in ascending doc_id order:
 Any zstandard decoder reads such a file as one stream; a reader of a few documents reads the two
 tables and then those frames alone.  ``manifest`` is a Parquet table with a row for each file.
 
-Tokens are made in one pass into compressed frames; only frames are shuffled, by range of doc_id.  A
+Tokens are made in one pass into compressed frames; only frames are shuffled, each to its file.  A
 writer task writes under a name of its own attempt and the manifest names the files of the attempts
 that succeeded, so retries and speculation leave at most files that nobody reads.
 
@@ -37,15 +37,19 @@ from .common import arrow_rows, cut, new_dir
 END_ID = 2
 DOCS_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(2**63)
-FRAMES = "doc_id long, n_tokens long, ids_crc32 long, checksum long, frame binary"
+FRAMES = "doc_id long, n_tokens long, ids_crc32 long, checksum long, frame binary, part int"
 FILES = "file string, n_docs long, n_ids long, n_bytes long, low long, high long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, level: int = 3) -> DataFrame:
-    """A compressed frame of ids, its length and checksums for every row of ``docs``."""
+def encode(docs: DataFrame, tokenizer: str, bounds: list[int], end_id: int | None = END_ID, level: int = 3) -> DataFrame:
+    """A compressed frame of ids, its length and checksums, and the file it belongs to, for every row.
+
+    File k takes the doc_ids over ``bounds[k - 1]`` and up to ``bounds[k]``; nulls go to the first.
+    """
 
     def frames(batches):
+        import numpy as np
         import pyarrow as pa
         import xxhash
         import zstandard
@@ -53,20 +57,23 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, level:
         made, pack = chunks.load(tokenizer), zstandard.ZstdCompressor(level=level, write_checksum=True)
         tail = struct.pack("<I", end_id) if end_id is not None else b""
 
-        def ids(texts):
-            return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in made.encode_batch(texts, add_special_tokens=False)]
+        def raw_ids(ids):
+            return struct.pack(f"<{len(ids)}I", *ids)
 
-        memo = chunks.ChunkMemo(ids) if chunks.by_chunks(tokenizer) else None
+        memo = chunks.memo_of(tokenizer, "ids", lambda: chunks.ChunkMemo(made, raw_ids, b"".join, True)) if chunks.by_chunks(tokenizer) else None
+        edges = np.array(bounds, np.int64)
         for batch in batches:
             n, crc, check, out = [], [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                raw = b"".join(memo.of(text) if memo else ids([text])) + tail
+                raw = b"".join(memo.of(text) if memo else [raw_ids(made.encode(text, add_special_tokens=False).ids)]) + tail
                 n.append(len(raw) // 4)
                 crc.append(zlib.crc32(raw))
                 check.append(xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
                 out.append(pack.compress(raw))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(check, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids_crc32", "checksum", "frame"])
+            ids = batch.column(0).cast(pa.int64())
+            part = np.searchsorted(edges, ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(check, pa.int64()), pa.array(out, pa.binary()), pa.array(part, pa.int32())], ["doc_id", "n_tokens", "ids_crc32", "checksum", "frame", "part"])
 
     return arrow_rows(docs.select("doc_id", "text")).mapInArrow(frames, FRAMES)
 
@@ -78,9 +85,15 @@ def _open(folder: str):
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
-    """Write ``docs`` to files in ``folder`` (any URI pyarrow opens); returns the manifest."""
-    frames = cut(encode(docs, tokenizer, end_id), "frames")
-    ordered = frames.repartitionByRange("doc_id", "n_tokens", "ids_crc32").sortWithinPartitions("doc_id", "n_tokens", "ids_crc32")
+    """Write ``docs`` to files in ``folder`` (any URI pyarrow opens); returns the manifest.
+
+    There are as many files as shuffle partitions, each with about the same number of doc_ids; their
+    bounds come from a quantile sketch of the ids alone, so that no text is read or encoded twice.
+    """
+    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inner = F.percentile_approx(F.col("doc_id").cast("long"), [k / files for k in range(1, files)], 20 * files) if files > 1 else F.array()
+    bounds = sorted(set(docs.agg(inner.alias("x")).first()[0] or []))
+    ordered = encode(docs, tokenizer, bounds, end_id).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "n_tokens", "ids_crc32")
 
     def write_file(batches):
         import pyarrow as pa
