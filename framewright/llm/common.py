@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reach
+
 #: ASCII white space, as the contracts' word pattern [^\x20\x09-\x0D]+ has it.
 BLANKS = "\t\n\x0b\x0c\r "
 
@@ -100,10 +100,7 @@ def text_key(text: Column) -> Column:
 def arrow_rows(df: DataFrame, rows: int = 256) -> DataFrame:
     """Keep Arrow batches small, as one text may have megabytes; Spark's default is 10,000 rows."""
     spark = df.sparkSession
-    here = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if here not in paths.split(":"):  # workers on this machine find the package; clusters get it by --py-files
-        spark.sparkContext.environment["PYTHONPATH"] = f"{here}:{paths}".rstrip(":")
+    reach(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
