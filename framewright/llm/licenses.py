@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import letter_words
 
-DRIFT, SEED_SHARE, COVER = 3, 0.3, 0.8
+DRIFT, SEED_SHARE, COVER = 3, 0.25, 0.8
 #: Phrases that count wherever their words stand consecutively (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Notices that are matched as a whole, with small changes (fixed values).

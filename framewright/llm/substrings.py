@@ -94,7 +94,7 @@ def covered(docs: DataFrame) -> DataFrame:
 
 def removal(docs: DataFrame) -> DataFrame:
     """``docs`` with what is removed as ``_fw_cut``: text left, n_sentences, n_removed, words_removed."""
-    spans = cut(covered(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans"), "spans")
+    spans = cut(covered(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_fw_spans")), "spans")
     keyed = docs.withColumn("_k", text_key(F.col("text")))
     joined = keyed.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
 
@@ -115,7 +115,7 @@ def removal(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "words_removed"])
 
     arrow_rows(docs)
-    return joined.select(*docs.columns, clean("text", "spans").alias("_fw_cut"))
+    return joined.select(*docs.columns, clean("text", "_fw_spans").alias("_fw_cut"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -106,11 +106,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END
             for doc, n, check, frame in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
                 if sink is None:
                     system.create_dir(path, recursive=True)
-                    sink, first = system.open_output_stream(f"{path}/{name}.part"), doc
+                    sink, first = system.open_output_stream(f"{path}/{name}.part"), NO_ID if doc is None else doc
                 sink.write(frame)
                 seek.append(struct.pack("<3I", len(frame), 4 * n, check))
                 listed.append(struct.pack("<qI", NO_ID if doc is None else doc, n))
-                n_ids, size, last = n_ids + n, size + len(frame), doc
+                n_ids, size, last = n_ids + n, size + len(frame), NO_ID if doc is None else doc
         if sink is None:
             return
         for magic, body in ((DOCS_MAGIC, b"".join(listed)), (SEEK_MAGIC, b"".join(seek) + struct.pack("<IBI", len(seek), 0x80, FOOT_MAGIC))):
