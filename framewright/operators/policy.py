@@ -45,10 +45,20 @@ def evidence(p: P.Params) -> Column:
     return true(c("raw_x").isNotNull() & (c("source") != 0) & ~c("touch") & (c("clip_edges") == 0) & (c("coverage") >= p.min_coverage) & (c("residual") <= 4.5 * p.scale) & (c("points") >= p.min_points) & (c("quality") >= p.min_quality))
 
 
-def loss_signals(p: P.Params) -> Column:
-    """How many signs of loss a frame has."""
+def occluded(p: P.Params) -> Column:
+    """At the border, or dark."""
     c = F.col
-    signs = [true(c("quality") < 0.12), ~true(c("residual") <= 4.5 * p.scale), ~true(c("coverage") >= p.min_coverage), ~true(c("points") >= p.min_points), true(c("touch")) | true(c("clip_edges") != 0) | true(c("maximum") < p.dark_level)]
+    return true(c("touch")) | true(c("clip_edges") != 0) | true(c("maximum") < p.dark_level)
+
+
+def loss_signals(p: P.Params, columns: list[str] = ()) -> Column:
+    """How many signs of loss a frame has; radius and arc count where ``columns`` has them."""
+    c = F.col
+    signs = [true(c("quality") < 0.12), ~true(c("residual") <= 4.5 * p.scale), ~true(c("coverage") >= p.min_coverage), ~true(c("points") >= p.min_points), occluded(p)]
+    if "radius_meas" in columns:
+        signs.append(~true(F.abs(c("radius_meas") / F.lit(p.radius) - 1) <= P.RADIUS_TOLERANCE))
+    if "arc_gap" in columns:
+        signs.append(~true(c("arc_gap") <= 360 - p.min_coverage))
     out = F.lit(0)
     for s in signs:
         out = out + s.cast("int")

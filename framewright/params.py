@@ -10,6 +10,7 @@ CONTENT_STATES = {0: "usable", 1: "clipped", 2: "uncertain"}
 CENTERING_STATES = {0: "reliable", 1: "reconstructed", 2: "unresolved"}
 REGIMES = {0: "limbo", 1: "transient", 2: "horizon"}
 EDGE_BITS = {"left": 1, "right": 2, "top": 4, "bottom": 8}
+RADIUS_TOLERANCE = 0.08
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, parse
-from ..operators import policy, seqops, summary
+from ..operators import path as robust
+from ..operators import policy, regime, seqops, summary
 from ..params import CENTERING_STATES, CONTENT_STATES, EDGE_BITS, Params
 from ..sources.frames import load_frames, sparse, systematic
 from . import solve
@@ -414,3 +415,79 @@ def cache_check(spark, sf_dir):
 
 def bit_names() -> list[str]:
     return list(EDGE_BITS)
+
+
+#: Anchors with a limb, their offsets from summed motion, and a narrow gate that the view's jitter passes.
+_ANCHORS = f""", o AS (SELECT *, evaluable AS known, evaluable AND k >= 50 AS limb, 0.1::double AS gate,
+ raw_x - sum(rel_x) OVER {rows("UNBOUNDED PRECEDING", "CURRENT ROW")} AS off_x, raw_y - sum(rel_y) OVER {rows("UNBOUNDED PRECEDING", "CURRENT ROW")} AS off_y,
+ coalesce(CASE WHEN evaluable AND lag(evaluable) OVER {W} THEN {_hyp(f"raw_x - lag(raw_x) OVER {W} - rel_x", f"raw_y - lag(raw_y) OVER {W} - rel_y")} END, 0) AS local FROM f),
+l AS (SELECT *, CASE WHEN limb AND known THEN frame_idx END AS ai, CASE WHEN limb AND known THEN off_x END AS ax, CASE WHEN limb AND known THEN off_y END AS ay FROM o),
+n AS (SELECT *, last_value(ai IGNORE NULLS) OVER {rows("UNBOUNDED PRECEDING", "CURRENT ROW")} AS i0, first_value(ai IGNORE NULLS) OVER {rows("CURRENT ROW", "UNBOUNDED FOLLOWING")} AS i1,
+ last_value(ax IGNORE NULLS) OVER {rows("UNBOUNDED PRECEDING", "CURRENT ROW")} AS x0, first_value(ax IGNORE NULLS) OVER {rows("CURRENT ROW", "UNBOUNDED FOLLOWING")} AS x1,
+ last_value(ay IGNORE NULLS) OVER {rows("UNBOUNDED PRECEDING", "CURRENT ROW")} AS y0, first_value(ay IGNORE NULLS) OVER {rows("CURRENT ROW", "UNBOUNDED FOLLOWING")} AS y1 FROM l),
+c AS (SELECT *, coalesce(CASE WHEN known AND i1 - i0 > 1 AND i1 - i0 <= 150 THEN {_hyp("off_x - (x0 + (x1 - x0) * (frame_idx - i0) / (i1 - i0))", "off_y - (y0 + (y1 - y0) * (frame_idx - i0) / (i1 - i0))")} END, 0) AS closure FROM n)"""
+
+
+def anchors(spark, sf_dir) -> DataFrame:
+    x, y = (F.col(c) for c in ("raw_x", "raw_y"))
+    f = load_frames(spark, sf_dir).withColumn("known", F.col("evaluable")).withColumn("limb", F.col("evaluable") & (F.col("k") >= 50)).withColumn("gate", F.lit(0.1))
+    f = f.withColumn("off_x", x - seqops.cumulative(F.col("rel_x"))).withColumn("off_y", y - seqops.cumulative(F.col("rel_y")))
+    return f.withColumn("local", seqops.innovation("raw_x", "raw_y", "rel_x", "rel_y")).withColumn("closure", robust.gap_closure())
+
+
+@query(f"{_ANCHORS} SELECT seq_id, frame_idx, round(closure, 6) AS closure FROM c")
+def gap_closure(spark, sf_dir):
+    return anchors(spark, sf_dir).select("seq_id", "frame_idx", *r6("closure"))
+
+
+@query(
+    f"""{_ANCHORS}, s AS (SELECT *, lag(known) OVER {W} AND known AND lead(known) OVER {W} AND (NOT limb OR (lag(limb) OVER {W} AND lead(limb) OVER {W})) AS fit, lead(local) OVER {W} AS after,
+ {_hyp(f"lead(raw_x) OVER {W} - lag(raw_x) OVER {W} - rel_x - lead(rel_x) OVER {W}", f"lead(raw_y) OVER {W} - lag(raw_y) OVER {W} - rel_y - lead(rel_y) OVER {W}")} AS apart FROM c)
+SELECT seq_id, frame_idx FROM s WHERE fit AND local > gate AND after > gate AND apart <= 2 * gate"""
+)
+def transient_spikes(spark, sf_dir):
+    return anchors(spark, sf_dir).withColumn("spike", robust.transient_spike()).filter("spike").select("seq_id", "frame_idx")
+
+
+@query(
+    f"""{_ANCHORS}, s AS (SELECT *, known AND closure > 0.2::double AS seed FROM c), g AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY seq_id, seed ORDER BY frame_idx) AS g FROM s),
+r AS (SELECT seq_id, min(frame_idx) AS start, max(frame_idx) AS last FROM g WHERE seed GROUP BY seq_id, g HAVING count(*) >= 3),
+b AS (SELECT r.seq_id, start, last, max(f1.frame_idx) AS b FROM r JOIN o f1 ON f1.seq_id = r.seq_id AND f1.known AND f1.frame_idx BETWEEN start - 4 AND start - 1 GROUP BY ALL),
+a AS (SELECT r.seq_id, start, min(f2.frame_idx) AS a FROM r JOIN o f2 ON f2.seq_id = r.seq_id AND f2.known AND f2.frame_idx BETWEEN last + 1 AND last + 4 GROUP BY ALL),
+k AS (SELECT b.seq_id, start, last FROM b JOIN a USING (seq_id, start) JOIN o p ON p.seq_id = b.seq_id AND p.frame_idx = b JOIN o q ON q.seq_id = b.seq_id AND q.frame_idx = a WHERE {_hyp("p.off_x - q.off_x", "p.off_y - q.off_y")} <= 0.2::double),
+e AS (SELECT seq_id, min(frame_idx) AS lo, max(frame_idx) AS hi FROM o WHERE limb GROUP BY seq_id)
+SELECT DISTINCT o.seq_id, o.frame_idx FROM o JOIN k ON k.seq_id = o.seq_id AND o.frame_idx BETWEEN start - 4 AND last + 4 LEFT JOIN e ON e.seq_id = o.seq_id
+ WHERE known AND (NOT limb OR quality < 0.15) AND coalesce(o.frame_idx NOT IN (lo, hi), true)"""
+)
+def accumulated_excursions(spark, sf_dir):
+    return robust.excursions(anchors(spark, sf_dir), 4).filter("excursion").select("seq_id", "frame_idx")
+
+
+def measured(spark, sf_dir) -> DataFrame:
+    """Frames with the columns that evidence and signs of loss are read from."""
+    k = F.col("k")
+    return load_frames(spark, sf_dir).withColumn("source", F.lit(1)).withColumn("touch", k > 97).withColumn("clip_edges", F.lit(0)).withColumn("coverage", k * 4.0).withColumn("residual", k / 20.0).withColumn("points", k)
+
+
+_TRACK = """, v AS (SELECT *, coalesce(raw_x IS NOT NULL AND k <= 97 AND k * 4 >= 150 AND k / 20.0 <= 4.5 AND k >= 35 AND quality >= 0.01, false) AS ev FROM f),
+t(seq_id, frame_idx, tx, ty, lx, ly, near) AS (SELECT seq_id, frame_idx, CASE WHEN ev THEN raw_x END, CASE WHEN ev THEN raw_y END, CASE WHEN ev THEN raw_x END, CASE WHEN ev THEN raw_y END, ev FROM v WHERE frame_idx = 0
+ UNION ALL SELECT seq_id, frame_idx, CASE WHEN near THEN raw_x ELSE px END, CASE WHEN near THEN raw_y ELSE py END, CASE WHEN ev THEN raw_x ELSE lx END, CASE WHEN ev THEN raw_y ELSE ly END, near
+ FROM (SELECT *, ev AND (lx IS NULL OR coalesce(sqrt(power(raw_x - px, 2) + power(raw_y - py, 2)) <= 1.5, false) OR coalesce(sqrt(power(raw_x - lx, 2) + power(raw_y - ly, 2)) <= 1.5, false)) AS near
+ FROM (SELECT v.*, t.lx, t.ly, t.tx + v.rel_x AS px, t.ty + v.rel_y AS py FROM t JOIN v ON v.seq_id = t.seq_id AND v.frame_idx = t.frame_idx + 1)))"""
+
+
+@query(f"RECURSIVE_{FRAMES}{_TRACK} SELECT seq_id, frame_idx, near AS coherent FROM t".replace("RECURSIVE_", "WITH RECURSIVE "))
+def coherent_evidence(spark, sf_dir):
+    return regime.coherent(regime.loss(measured(spark, sf_dir), P), "evidence", 1.5, P.scale).select("seq_id", "frame_idx", "coherent")
+
+
+@query()
+def regimes(spark, sf_dir):
+    """Short spans, as the sequences of the events are short."""
+    return regime.classify(measured(spark, sf_dir), P, regime.Horizon(2, 2, 9), 1.5).select("seq_id", "frame_idx", "regime", "horizon_start", "false_circle", "led_by", "core", "signs")
+
+
+@query()
+def robust_path(spark, sf_dir):
+    f = load_frames(spark, sf_dir).withColumn("limb", F.col("evaluable") & (F.col("k") >= 50)).withColumn("contrast", F.col("evaluable")).withColumn("score", F.col("quality"))
+    return robust.robust_path(f, P.scale).select("seq_id", "frame_idx", *r6("path_x", "path_y", "center_x", "center_y", "correction"), "spike", "excursion", "jump", "reason")
