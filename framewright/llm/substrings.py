@@ -7,8 +7,9 @@ without regard to case and white space.  Runs are joined globally; of each hash
 several places, all runs but the first (by doc_id, then text, then place) are covered, and covered
 sentences are removed.
 
-Only hashes that stand twice are kept for the join; a passage that a third of all texts share is a
-sum that is combined before the shuffle and then a hot join key that adaptive execution splits.
+A run that stands in its own text before needs no join.  The others are combined by hash before the
+shuffle, hashes that stand twice are joined back by one path at every size, and a passage that a
+third of all texts share is a hot join key there that adaptive execution splits.
 
 Cases: null text stays null, empty and short texts stay as they are; rows that repeat both id and
 text count as one text and are treated alike; null doc_ids are last in order; an empty table gives an
@@ -21,10 +22,10 @@ import re
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, few, text_key
+from .common import arrow_rows, cut, text_key
 
 SENTENCES, WORDS, LONG = 2, 20, 30
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+[\"')\]]*\s*|\n\s*|\Z)")
@@ -71,32 +72,49 @@ def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS)
 
 
 def _runs(batches):
+    """place, at and h of every run; a run that stood in its text before has no h, as no join need tell."""
     import pyarrow as pa
 
     for batch in batches:
-        for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            found = list(runs(text.as_py() or ""))
-            if found:
-                i, n, h = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(i), pa.int64()), pa.array([key] * len(i), pa.int64()), pa.array(i, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], ["doc_id", "key", "i", "n", "h"])
+        source, at, h = [], [], []
+        for row, text in enumerate(batch.column(1)):
+            seen: set[int] = set()
+            for i, n, value in runs(text.as_py() or ""):
+                source.append(row)
+                at.append(i << 32 | n)
+                h.append(None if value in seen else value)
+                seen.add(value)
+        if at:
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int32())), pa.array(at, pa.int64()), pa.array(h, pa.int64())], ["place", "at", "h"])
+
+
+def place(doc_id: Column, text: Column) -> Column:
+    """One number per text, in order of doc_id (null last) and then of the text's 62-bit hash.
+
+    A number and not a struct, so that the least place of a hash is found by hash aggregation.
+    """
+    low = text_key(text).bitwiseAND(F.lit((1 << 62) - 1)).cast("decimal(19,0)")
+    high = F.coalesce(doc_id.cast("long").cast("decimal(19,0)"), F.lit("9500000000000000000").cast("decimal(19,0)"))
+    return (high * F.lit("10000000000000000000").cast("decimal(20,0)") + low).cast("decimal(38,0)")
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc_id, key and spans (first sentence, number) of every text with repeated runs."""
-    texts = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), "text")
-    found = cut(arrow_rows(texts).mapInArrow(_runs, "doc_id long, key long, i int, n int, h long"), "runs")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "i")
+    """place and spans (first sentence << 32 | number) of every text with repeated runs."""
+    texts = docs.select(place(F.col("doc_id"), F.col("text")).alias("place"), "text")
+    found = cut(arrow_rows(texts).mapInArrow(_runs, "place decimal(38,0), at long, h long"), "runs")
+    once = found.filter("h is not null")
     # a text's rows may repeat: places are compared, not counted
-    many = cut(found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("end")).filter("first <> end").select("h", "first"), "repeats")
-    again = found.join(few(many, 500_000), "h").filter(place != F.col("first"))
-    return again.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("spans"))
+    many = once.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("end")).filter("first <> end").select("h", "first")
+    elsewhere = once.join(many, "h").filter("place <> first").select("place", "at")
+    again = elsewhere.unionAll(found.filter("h is null").select("place", "at"))
+    return again.groupBy("place").agg(F.collect_set("at").alias("spans"))
 
 
 def removal(docs: DataFrame) -> DataFrame:
     """``docs`` with what is removed as ``_fw_cut``: text left, n_sentences, n_removed, words_removed."""
-    spans = cut(covered(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_fw_spans")), "spans")
-    keyed = docs.withColumn("_k", text_key(F.col("text")))
-    joined = keyed.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    spans = cut(covered(docs).select(F.col("place").alias("_fw_of"), F.col("spans").alias("_fw_spans")), "spans")
+    keyed = docs.withColumn("_fw_place", place(F.col("doc_id"), F.col("text")))
+    joined = keyed.join(spans.hint("shuffle_hash"), F.col("_fw_place") == F.col("_fw_of"), "left")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long, words_removed long")
     def clean(texts, spans):
@@ -110,7 +128,8 @@ def removal(docs: DataFrame) -> DataFrame:
             parts = sentences(text)
             gone = bytearray(len(parts))
             for s in some if some is not None else ():
-                gone[s["i"] : s["i"] + s["n"]] = b"\1" * s["n"]
+                first, n = int(s) >> 32, int(s) & 0xFFFFFFFF
+                gone[first : first + n] = b"\1" * n
             rows.append(("".join(p for p, g in zip(parts, gone, strict=True) if not g), len(parts), sum(gone), sum(len(WORD.findall(p.lower().encode("utf-8", "surrogatepass"))) for p, g in zip(parts, gone, strict=True) if g)))
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "words_removed"])
 

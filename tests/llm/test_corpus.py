@@ -314,6 +314,10 @@ def test_substrings(spark, docs, none, rows):
     assert kept.count() == len(rows)
     assert kept.filter("text is null").count() == sum(r[1] is None for r in rows)
     assert substrings.deduplicate(none).count() == 0
+    twice = spark.createDataFrame([(5, "x " + shared, 0), (5, "y. " + shared, 0), (None, shared, 0), (7, shared + shared, 0), (7, shared + shared, 0)], "doc_id long, text string, spans long")
+    left = [(r.doc_id, r.text) for r in substrings.deduplicate(twice).collect()]
+    assert sum(shared[60:] in (t or "") for _, t in left) == 1 and all(t.count(shared[60:]) <= 1 for _, t in left)
+    assert [t for d, t in left if d in (7, None)] == ["", "", ""]
 
 
 def test_pipeline(spark, sf_dir):
