@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, parse
 from ..operators import path as robust
-from ..operators import policy, regime, seqops, summary
+from ..operators import policy, regime, seqops, summary, track
 from ..params import CENTERING_STATES, CONTENT_STATES, EDGE_BITS, Params
-from ..sources.frames import load_frames, sparse, systematic
-from . import solve
+from ..sources import sinks
+from ..sources.frames import incomplete, load_frames, sparse, systematic
+from . import decide, solve
 
 P = Params()
 QUERIES: dict = {}
@@ -491,3 +492,102 @@ def regimes(spark, sf_dir):
 def robust_path(spark, sf_dir):
     f = load_frames(spark, sf_dir).withColumn("limb", F.col("evaluable") & (F.col("k") >= 50)).withColumn("contrast", F.col("evaluable")).withColumn("score", F.col("quality"))
     return robust.robust_path(f, P.scale).select("seq_id", "frame_idx", *r6("path_x", "path_y", "center_x", "center_y", "correction"), "spike", "excursion", "jump", "reason")
+
+
+SIZE = (270.0, 360.0)
+
+
+def detected(spark, sf_dir) -> DataFrame:
+    """Frames with an edge measurement and a contour: jumps move the edge by more than the contour."""
+    k, jump = F.col("k"), F.col("exposed") < 0.7
+    f = load_frames(spark, sf_dir).withColumn("radial_x", F.col("raw_x")).withColumn("radial_y", F.col("raw_y")).withColumn("points", k)
+    f = f.withColumn("coverage", k * 4.0).withColumn("residual", k / 20.0).withColumn("touch", k > 85)
+    return f.withColumn("contour_x", F.col("raw_x") - F.when(jump, 12.0).otherwise(0.0)).withColumn("contour_y", F.col("raw_y"))
+
+
+_DETECTED = """, v AS (SELECT *, raw_x IS NOT NULL AND k >= 35 AND k * 4 >= 120 AND k / 20.0 <= 4.5 AS sound, k > 85 AS touch, raw_x - CASE WHEN exposed < 0.7 THEN 12::double ELSE 0 END AS contour_x FROM f),
+t AS (SELECT seq_id, CAST(-1 AS BIGINT) AS frame_idx, NULL::double AS tx, NULL::double AS ty, NULL::double AS lx, NULL::double AS ly, 0 AS src FROM f GROUP BY seq_id
+ UNION ALL SELECT seq_id, frame_idx, tx, ty, CASE src WHEN 0 THEN lx WHEN 3 THEN contour_x ELSE raw_x END, CASE src WHEN 0 THEN ly ELSE raw_y END, src
+ FROM (SELECT *, CASE WHEN sound AND sqrt(power(raw_x - tx, 2) + power(raw_y - ty, 2)) <= 10 THEN CASE WHEN abs(contour_x - raw_x) > 4 THEN 2 ELSE 1 END
+   WHEN sound AND NOT touch AND CASE WHEN lx IS NULL THEN sqrt(power(contour_x - tx, 2) + power(raw_y - ty, 2)) <= 6 ELSE sqrt(power(contour_x - lx - rel_x, 2) + power(raw_y - ly - rel_y, 2)) <= 10 END THEN 3 ELSE 0 END AS src
+  FROM (SELECT v.*, t.lx, t.ly, CASE WHEN t.lx IS NULL THEN coalesce(v.contour_x, 135) ELSE t.lx + v.rel_x END AS tx, CASE WHEN t.lx IS NULL THEN coalesce(v.raw_y, 180) ELSE t.ly + v.rel_y END AS ty
+   FROM t JOIN v ON v.seq_id = t.seq_id AND v.frame_idx = t.frame_idx + 1)))"""
+
+
+@query(
+    f"RECURSIVE_{FRAMES}{_DETECTED} SELECT seq_id, frame_idx, round(tx, 6) AS told_x, round(ty, 6) AS told_y, round(CASE WHEN src > 0 THEN lx END, 6) AS place_x, round(CASE WHEN src > 0 THEN ly END, 6) AS place_y, CAST(src AS INTEGER) AS place_source FROM t WHERE frame_idx >= 0".replace("RECURSIVE_", "WITH RECURSIVE ")
+)
+def geometry_track(spark, sf_dir):
+    return track.geometry_track(detected(spark, sf_dir), P, SIZE).select("seq_id", "frame_idx", *r6("told_x", "told_y", "place_x", "place_y"), "place_source")
+
+
+def contrasted(spark, sf_dir) -> DataFrame:
+    """Frames with their regime, trusted geometry and the contrast track anchored to it."""
+    f = measured(spark, sf_dir).withColumn("spot_x", 100 + F.col("frame_idx") * 0.2).withColumn("spot_y", 170 + F.col("frame_idx") * 0.1).withColumn("spot_score", F.col("quality") / 2)
+    f = decide.trusted_geometry(regime.classify(f, P, regime.Horizon(2, 2, 9), 1.5), P.scale).withColumn("place_x", F.col("raw_x")).withColumn("place_y", F.col("raw_y"))
+    return track.contrast_track(f, P, SIZE)
+
+
+@query()
+def trusted_geometry(spark, sf_dir):
+    f = decide.trusted_geometry(regime.classify(measured(spark, sf_dir), P, regime.Horizon(2, 2, 9), 1.5), P.scale)
+    return f.select("seq_id", "frame_idx", "trusted", "rejected")
+
+
+@query()
+def contrast_track(spark, sf_dir):
+    return contrasted(spark, sf_dir).select("seq_id", "frame_idx", *r6("contrast_x", "contrast_y", "contrast_score", "offset_x", "offset_y", "fallback_innovation"), "reanchored", "supported", "fallback_mode")
+
+
+def decisions_of(spark, sf_dir) -> DataFrame:
+    keep = [*measured(spark, sf_dir).columns, *[n for n, _ in track.Contrast.ADDED]]
+    ranges = spark.createDataFrame(_RANGES, "start long, end long")
+    return decide.decide(contrasted(spark, sf_dir).select(*keep), P, SIZE, regime.Horizon(2, 2, 9), 1.5, ranges)
+
+
+@query()
+def decisions(spark, sf_dir):
+    return decisions_of(spark, sf_dir).select("seq_id", "frame_idx", "regime", "trusted", "backup", *r6("center_x", "center_y", "margin"), "tear_verdict", "content", "content_reason", "centering", "corrupt", "contradicted", "discarded", "keep")
+
+
+@query()
+def debug_csv(spark, sf_dir):
+    return sinks.debug_table(policy.selection(decisions_of(spark, sf_dir), [3, 12], [4, 16, 41]))
+
+
+def _tracking_sql() -> str:
+    known = {"frame": "frame_idx", "raw_cx": "round(raw_x, 6)", "raw_cy": "round(raw_y, 6)", "quality": "round(quality, 6)", "phase_dx": "rel_x", "phase_dy": "rel_y", "phase_response": "round(response, 6)", "keep": "CAST(keep AS INTEGER)",
+             "tear_candidate": "CAST(candidate AS INTEGER)", "tear_evaluable": "CAST(evaluable AS INTEGER)", "tear_detected": "CAST(tear AS INTEGER)", "tear_exposed_fraction": "round(exposed, 6)", "tear_baseline_fraction": "round(baseline, 6)",
+             "tear_drop_fraction": "round(baseline - exposed, 6)", "content_state": "CASE content WHEN 0 THEN 'usable' WHEN 1 THEN 'clipped' ELSE 'uncertain' END", "centering_state": "CASE centering WHEN 0 THEN 'reliable' WHEN 1 THEN 'reconstructed' ELSE 'unresolved' END"}
+    rest = {**{n: "0.0::double" for n in sinks.ZERO}, **{n: "0" for n in sinks.FLAGS}, **{n: "'unknown'" for n in sinks.NAMED}, **{n: "''" for n in sinks.TRACKING if n.endswith("reason")}}
+    return f"{_DECIDED} SELECT seq_id, " + ", ".join(f"{known.get(n) or rest.get(n, 'NULL::double')} AS {n}" for n in sinks.TRACKING) + " FROM d"
+
+
+@query(_tracking_sql())
+def tracking_csv(spark, sf_dir):
+    return sinks.tracking_table(decided(spark, sf_dir).drop("noise", "run_length").withColumns({c: F.round(c, 6) for c in ("raw_x", "raw_y", "quality", "response", "exposed", "baseline", "drop")}))
+
+
+@query(", n AS (SELECT seq_id, count(*) AS n FROM f GROUP BY seq_id) SELECT n.seq_id, CAST(floor(i * (n - 1) / 15) AS BIGINT) AS frame, round(raw_x, 6) AS cx, round(raw_y, 6) AS cy, round(quality, 6) AS quality, NULL::double AS coverage_deg, NULL::double AS median_residual, NULL::double AS threshold, 0 AS touch FROM (SELECT DISTINCT n.seq_id, CAST(floor(i * (n - 1) / 15) AS BIGINT) AS i FROM n, range(16) AS t(i)) AS n JOIN f ON f.seq_id = n.seq_id AND f.frame_idx = n.i".replace("CAST(floor(i * (n - 1) / 15) AS BIGINT) AS frame, round", "f.frame_idx AS frame, round"))
+def detections_csv(spark, sf_dir):
+    return sinks.detection_table(systematic(load_frames(spark, sf_dir), 16).withColumns({c: F.round(c, 6) for c in ("raw_x", "raw_y", "quality")}))
+
+
+@query(
+    """, r AS (SELECT seq_id, frame_idx, k, row_number() OVER (PARTITION BY seq_id ORDER BY k DESC, frame_idx) AS rank FROM f WHERE k IS NOT NULL),
+m AS (SELECT seq_id, count(*) AS validated, max(k) AS maximum, count(*) FILTER (WHERE k > 90) AS over FROM f GROUP BY seq_id)
+SELECT m.seq_id, CAST(to_json({'validated': any_value(validated), 'maximum': any_value(maximum), 'over': any_value(over), 'worst': list({'frame_idx': frame_idx, 'k': k} ORDER BY rank)}) AS VARCHAR) AS report
+FROM m JOIN r USING (seq_id) WHERE rank <= 3 GROUP BY m.seq_id"""
+)
+def validation_report(spark, sf_dir):
+    f = load_frames(spark, sf_dir)
+    order = F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("k"), "frame_idx"))
+    worst = f.filter("k is not null").select("seq_id", order.alias("rank"), "frame_idx", "k").filter("rank <= 3")
+    metrics = f.groupBy("seq_id").agg(F.count(F.lit(1)).alias("validated"), F.max("k").alias("maximum"), F.count_if(F.col("k") > 90).alias("over"))
+    return sinks.validation(metrics, worst)
+
+
+@query(""", n AS (SELECT seq_id, count(*) AS found FROM f GROUP BY seq_id) SELECT seq_id, found + 1 AS declared, found FROM n WHERE seq_id % 3 = 0""")
+def incomplete_sequences(spark, sf_dir):
+    f = load_frames(spark, sf_dir)
+    return incomplete(f, f.groupBy("seq_id").agg((F.count(F.lit(1)) + F.when(F.col("seq_id") % 3 == 0, 1).otherwise(0)).alias("declared"))).select("seq_id", "declared", "found")

@@ -45,3 +45,10 @@ def systematic(frames: DataFrame, count: int = 16) -> DataFrame:
     n = F.count(F.lit(1)).over(last)
     steps = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * (n - 1) / F.lit(max(1, count - 1))))
     return frames.withColumn("_at", steps).filter(F.array_contains("_at", F.col("frame_idx"))).drop("_at")
+
+
+def incomplete(frames: DataFrame, totals: DataFrame) -> DataFrame:
+    """Sequences whose number of frames is not the declared one (seq_id, declared), with both numbers."""
+    found = frames.groupBy("seq_id").agg(F.count(F.lit(1)).alias("found"))
+    both = totals.select("seq_id", F.col("declared").cast("bigint").alias("declared")).join(found, "seq_id", "full")
+    return both.withColumn("found", F.coalesce("found", F.lit(0))).filter(~F.col("found").eqNullSafe(F.col("declared")))
