@@ -521,9 +521,9 @@ def geometry_track(spark, sf_dir):
     return track.geometry_track(detected(spark, sf_dir), P, SIZE).select("seq_id", "frame_idx", *r6("told_x", "told_y", "place_x", "place_y"), "place_source")
 
 
-def contrasted(spark, sf_dir) -> DataFrame:
+def contrasted(spark, sf_dir, marked: DataFrame | None = None) -> DataFrame:
     """Frames with their regime, trusted geometry and the contrast track anchored to it."""
-    f = measured(spark, sf_dir).withColumn("spot_x", 100 + F.col("frame_idx") * 0.2).withColumn("spot_y", 170 + F.col("frame_idx") * 0.1).withColumn("spot_score", F.col("quality") / 2)
+    f = (measured(spark, sf_dir) if marked is None else marked).withColumn("spot_x", 100 + F.col("frame_idx") * 0.2).withColumn("spot_y", 170 + F.col("frame_idx") * 0.1).withColumn("spot_score", F.col("quality") / 2)
     f = decide.trusted_geometry(regime.classify(f, P, regime.Horizon(2, 2, 9), 1.5), P.scale).withColumn("place_x", F.col("raw_x")).withColumn("place_y", F.col("raw_y"))
     return track.contrast_track(f, P, SIZE)
 
@@ -540,9 +540,8 @@ def contrast_track(spark, sf_dir):
 
 
 def decisions_of(spark, sf_dir) -> DataFrame:
-    keep = [*measured(spark, sf_dir).columns, *[n for n, _ in track.Contrast.ADDED]]
-    ranges = spark.createDataFrame(_RANGES, "start long, end long")
-    return decide.decide(contrasted(spark, sf_dir).select(*keep), P, SIZE, regime.Horizon(2, 2, 9), 1.5, ranges)
+    marked = policy.discard_ranges(measured(spark, sf_dir), spark.createDataFrame(_RANGES, "start long, end long"))
+    return decide.decide(contrasted(spark, sf_dir, marked), P, SIZE)
 
 
 @query()

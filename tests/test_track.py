@@ -141,7 +141,7 @@ def decided(spark, n=120, tear=(), border=(), lost=()):
         gone = i in lost
         rows.append((1, i, None if gone else 100 + 0.1 * i, None if gone else 180.0, 0.1 if i else 0.0, 0.0, 0.5, 0 if gone else 1, False, 1 if i in border else 0, 5.0 if gone else 300.0, None if gone else 0.5, 5 if gone else 200, 0.0 if gone else 0.9, 200, None, None, 0.0, False, not gone, 0.6 if i in tear else 0.95))
     f = spark.createDataFrame(rows, "seq_id long, frame_idx long, raw_x double, raw_y double, rel_x double, rel_y double, response double, source int, touch boolean, clip_edges int, coverage double, residual double, points long, quality double, maximum int, contrast_x double, contrast_y double, contrast_score double, supported boolean, evaluable boolean, exposed double")
-    out = decide.decide(f, P, SIZE, discarded=spark.createDataFrame([(100, 101)], "start long, end long"))
+    out = decide.decide(policy.discard_ranges(f, spark.createDataFrame([(100, 101)], "start long, end long")), P, SIZE)
     return {r.frame_idx: r for r in out.collect()}
 
 
