@@ -1,9 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (at . ! ? and line ends); a sentence of more than ``LONG`` words is cut
-further where a word's checksum says so, which is at the same words in every copy.  From each
-sentence on, the shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words is hashed
-without regard to case and white space.  Runs are joined globally; of each hash that stands in
+further where a word's checksum says so, which is at the same words in every copy.  The
+shortest runs of at least ``SENTENCES`` sentences and ``WORDS`` words from each sentence on, and up to
+each sentence, are hashed without regard to case and white space.  Runs are joined globally; of each hash that stands in
 several places, all runs but the first (by doc_id, then text, then place) are covered, and covered
 sentences are removed.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,21 +55,31 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, number of sentences, hash) of every run of the text."""
+    """(first sentence, number of sentences, hash) of the shortest run that starts, and of the
+    shortest that ends, at each sentence of the text; each run once.
+
+    Both lie in every longer run from or to there, so together they cover any repeated run whole.
+    """
     import xxhash
 
     parts = [WORD.findall(s.encode("utf-8", "surrogatepass").lower()) for s in sentences(text)]
-    joined, counts = [b" ".join(p) for p in parts], [len(p) for p in parts]
-    end = words = 0
-    for i in range(len(parts)):
-        while end < len(parts) and (end - i < least_sentences or words < least_words):
-            words += counts[end]
-            end += 1
-        if end - i < least_sentences or words < least_words:
-            return
-        h = xxhash.xxh64_intdigest(b" ".join(x for x in joined[i:end] if x))
-        yield i, end - i, h - (1 << 64) if h >> 63 else h
-        words -= counts[i]
+    total = [0, *accumulate(map(len, parts))]
+    words = [w for p in parts for w in p]
+    ends = [0, *accumulate(len(w) + 1 for w in words)]
+    joined, at = b" ".join(words), [ends[n] for n in total]
+
+    def run(i: int, end: int) -> tuple[int, int, int]:
+        h = xxhash.xxh64_intdigest(joined[at[i] : at[end] - 1])
+        return i, end - i, h - (1 << 64) if h >> 63 else h
+
+    last = -1  # the last sentence from which a run can end at ``end``
+    for end in range(least_sentences, len(parts) + 1):
+        known = last
+        while end - last > least_sentences and total[end] - total[last + 1] >= least_words:
+            last += 1
+            yield run(last, end)
+        if last == known >= 0:
+            yield run(last, end)
 
 
 def _runs(batches):

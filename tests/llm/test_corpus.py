@@ -320,6 +320,26 @@ def test_substrings(spark, docs, none, rows):
     assert [t for d, t in left if d in (7, None)] == ["", "", ""]
 
 
+def test_runs_cover_what_all_runs_cover(spark):
+    rng = random.Random(4)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + ". "
+    whole = [sentence(n) for n in (25, 12, 10, 8)]
+    uneven = [[sentence(rng.choice([1, 2, 3, 8, 12, 25])) for _ in range(rng.randint(2, 9))] for _ in range(6)]
+    lists = [[sentence(9), *whole, sentence(9)], whole, whole, [sentence(7), *whole]]
+    lists += [[sentence(rng.randint(1, 30)), *rng.choice(uneven), sentence(rng.randint(1, 30)), *rng.choice(uneven)] for _ in range(20)]
+    seen, gone = {}, [[False] * len(x) for x in lists]
+    for d, x in enumerate(lists):
+        for i in range(len(x)):
+            for j in range(i + 2, len(x) + 1):
+                run = "".join(x[i:j])
+                if len(run.split()) >= 20 and seen.setdefault(run, (d, i)) != (d, i):
+                    gone[d][i:j] = [True] * (j - i)
+    table = spark.createDataFrame([(d, "".join(x)) for d, x in enumerate(lists)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in substrings.deduplicate(table).collect()}
+    assert out == {d: "".join(s for s, g in zip(x, gone[d], strict=True) if not g) for d, x in enumerate(lists)}
+    assert out[1] == out[2] == ""
+
+
 def test_pipeline(spark, sf_dir):
     corpus = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
