@@ -1,7 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at . ! ? and line ends); a sentence of more than ``LONG`` words is cut
-further where a word's checksum says so, which is at the same words in every copy.  The
+A text is cut into sentences (at . ! ? and line ends), and a sentence of more than ``EVERY`` words
+before the word of least checksum of any ``EVERY`` words in it.  What ``EVERY`` words decide is the
+same in every copy, whatever stands around it, and no part has more words, so texts that share 42
+words share a run; of a passage that starts or ends inside a sentence, a few words at that end may
+belong to a part that differs and stay.  The
 shortest runs of at least ``SENTENCES`` sentences and ``WORDS`` words from each sentence on, and up to
 each sentence, are hashed without regard to case and white space.  Runs are joined globally; of each hash that stands in
 several places, all runs but the first (by doc_id, then text, then place) are covered, and covered
@@ -21,36 +24,55 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut, text_key
 
-SENTENCES, WORDS, LONG = 2, 20, 30
+SENTENCES, WORDS, EVERY = 2, 20, 8
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+[\"')\]]*\s*|\n\s*|\Z)")
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text whose A-Z are as they were.
+START = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def cuts(words: list[bytes]) -> list[int]:
+    """The words of a sentence before which it is cut: the first least checksum of any ``EVERY`` words."""
+    out: list[int] = []
+    if len(words) <= EVERY:
+        return out
+    marks, least = list(map(zlib.crc32, words)), 0  # the first word starts a part anyway
+    for i in range(EVERY, len(words)):
+        if not least or i - least >= EVERY:
+            least = marks.index(min(marks[least + 1 : i + 1]), least + 1)
+        elif marks[i] < marks[least]:
+            least = i
+        else:
+            continue
+        out.append(least)
+    return out
+
+
+def _sentences(text: str) -> Iterator[tuple[str, list[bytes], list[int]]]:
+    """Each sentence with its words in lower case and its cuts."""
+    for part in SENTENCE.findall(text):
+        if part:
+            words = WORD.findall(part.encode("utf-8", "surrogatepass").lower())
+            yield part, words, cuts(words)
 
 
 def sentences(text: str) -> list[str]:
     """The parts of ``text``; joined, they are the text again."""
     out = []
-    for part in SENTENCE.findall(text):
-        if not part:
-            continue
-        words = part.split(" ") if len(part) > 4 * LONG else ()
-        if len(words) <= LONG:
+    for part, _, inner in _sentences(text):
+        if inner:
+            starts = [m.start() for m in START.finditer(part)]
+            at = [0, *(starts[i] for i in inner), len(part)]
+            out += [part[a:b] for a, b in pairwise(at)]
+        else:
             out.append(part)
-            continue
-        held: list[str] = []
-        for i, word in enumerate(words):
-            held.append(word if i == len(words) - 1 else word + " ")
-            if zlib.crc32(word.lower().encode()) % 8 == 0:
-                out.append("".join(held))
-                held = []
-        if held:
-            out.append("".join(held))
     return out
 
 
@@ -62,18 +84,21 @@ def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS)
     """
     import xxhash
 
-    parts = [WORD.findall(s.encode("utf-8", "surrogatepass").lower()) for s in sentences(text)]
-    total = [0, *accumulate(map(len, parts))]
-    words = [w for p in parts for w in p]
+    total, words = [0], []
+    for _, some, inner in _sentences(text):
+        total += [len(words) + i for i in inner]
+        words += some
+        total.append(len(words))
+    n = len(total) - 1
     ends = [0, *accumulate(len(w) + 1 for w in words)]
-    joined, at = b" ".join(words), [ends[n] for n in total]
+    joined, at = b" ".join(words), [ends[k] for k in total]
 
     def run(i: int, end: int) -> tuple[int, int, int]:
         h = xxhash.xxh64_intdigest(joined[at[i] : at[end] - 1])
         return i, end - i, h - (1 << 64) if h >> 63 else h
 
     last = -1  # the last sentence from which a run can end at ``end``
-    for end in range(least_sentences, len(parts) + 1):
+    for end in range(least_sentences, n + 1):
         known = last
         while end - last > least_sentences and total[end] - total[last + 1] >= least_words:
             last += 1
@@ -136,9 +161,12 @@ def removal(docs: DataFrame) -> DataFrame:
             if text is None:
                 rows.append((None, 0, 0, 0))
                 continue
+            if some is None:
+                rows.append((text, sum(len(inner) + 1 for _, _, inner in _sentences(text)), 0, 0))
+                continue
             parts = sentences(text)
             gone = bytearray(len(parts))
-            for s in some if some is not None else ():
+            for s in some:
                 first, n = int(s) >> 32, int(s) & 0xFFFFFFFF
                 gone[first : first + n] = b"\1" * n
             rows.append(("".join(p for p, g in zip(parts, gone, strict=True) if not g), len(parts), sum(gone), sum(len(WORD.findall(p.lower().encode("utf-8", "surrogatepass"))) for p, g in zip(parts, gone, strict=True) if g)))

@@ -340,6 +340,37 @@ def test_runs_cover_what_all_runs_cover(spark):
     assert out[1] == out[2] == ""
 
 
+def test_passages_inside_sentences_share_runs():
+    rng = random.Random(6)
+    words = lambda n: [rng.choice(["", "\n" * (rng.random() < 0.01)]) + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    share = []
+    for k in range(600):
+        passage = words(51 if k % 2 else 42)
+        if k % 3 == 0:  # two sentences of 27 words
+            passage = [*words(26), words(1)[0] + ".", *words(26), words(1)[0] + "."]
+        texts = [words(rng.randint(0, 60)) + passage + words(rng.randint(0, 60)) for _ in range(2)]
+        joined = [rng.choice([" ", "  ", "\t"]).join(t) for t in texts]
+        found = [{h: (i, n) for i, n, h in substrings.runs(t)} for t in joined]
+        common = set(found[0]) & set(found[1])
+        assert common
+        parts = substrings.sentences(joined[0])
+        assert "".join(parts) == joined[0]
+        assert max(len(p.split()) for p in parts) <= substrings.EVERY
+        gone = set().union(*(range(i, i + n) for i, n in (found[0][h] for h in common)))
+        share.append(sum(len(parts[i].split()) for i in gone) / len(passage))
+    assert max(share) <= 1
+    assert np.mean(share) > 0.8
+
+
+def test_cuts_are_the_first_least_of_any_window():
+    rng = random.Random(7)
+    for _ in range(300):
+        w = [bytes([rng.randint(97, 99)]) for _ in range(rng.randint(0, 40))]
+        marks = list(map(zlib.crc32, w))
+        want = {marks.index(min(marks[i : i + substrings.EVERY]), i) for i in range(1, len(w) - substrings.EVERY + 1)}
+        assert substrings.cuts(w) == sorted(want)
+
+
 def test_pipeline(spark, sf_dir):
     corpus = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
