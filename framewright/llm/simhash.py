@@ -179,20 +179,23 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """doc_id, key, fp and component_id (the smallest doc_id reachable) of every row."""
+    """doc_id, key, fp, root and component_id (the smallest doc_id reachable) of every row.
+
+    ``root``, a fingerprint, identifies the component; component_id doesn't where ids are null or repeat.
+    """
     marked = cut(fingerprints(docs), "fingerprints")
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     roots = components(links(classes, crowd))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "key", "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``docs`` with one row of each component: the one of smallest doc_id (then key), once."""
     found = near_duplicates(docs, crowd)
-    first = found.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key"))
+    first = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key"))
     keyed = docs.withColumn("_k", text_key(F.col("text")))
     kept = keyed.join(cut(first, "kept").hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_k"] == F.col("_key")), "left_semi")
     return _once(kept).select(docs.columns)

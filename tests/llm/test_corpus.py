@@ -209,6 +209,18 @@ def test_simhash(docs, none, rows):
     assert kept.count() == len(set(root))
 
 
+def test_components_without_an_id_of_their_own_stay_apart(spark):
+    rng = random.Random(3)
+    prose = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(7)]
+    ids = [None, None, None, 5, 5, 7]
+    table = [*zip(ids, prose, strict=False), (None, prose[0]), (7, prose[3]), (8, prose[4]), (None, prose[6])]
+    fps = [fingerprint(t) for _, t in table]
+    root = components(fps)
+    assert len(set(root)) == 7
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicate(spark.createDataFrame(table, "doc_id long, text string")).collect()]
+    assert Counter(kept) == Counter([(None, prose[0]), (None, prose[1]), (None, prose[2]), (5, prose[3]), (5, prose[4]), (7, prose[5]), (None, prose[6])])
+
+
 @pytest.mark.parametrize("crowd", [4096, 3])
 def test_links_connect_all_that_they_should(spark, crowd):
     rng = random.Random(1)
