@@ -5,7 +5,8 @@ benchmark window.  A window is 10 consecutive words of an item (a shorter item i
 words are ordered by their number of postings: the rarest word's postings, less its offset in the
 window, are the candidate starts; they are intersected with the offset-adjusted postings of the next
 rarest word, and then with all others at once, in the rows that are left.  What survives stands in
-the text word by word.  ``proximity`` instead takes every other word within a few places.
+the text word by word.  ``near`` finds what is nearly a window, from the words around
+each of its rarest ones.
 
 Everything is joins and sums on (row, place): a very common word is spread over its rows, and a
 window costs its rarest word's postings.  Window tables are broadcast if they are counted to be
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, few, letter_words, text_key
 
-SPAN = 10
+SPAN, SLOP, SHARE = 10, 3, 0.8
 
 
 def windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
@@ -80,7 +81,7 @@ def phrases(order: DataFrame, postings: DataFrame) -> DataFrame:
 
 def proximity(order: DataFrame, postings: DataFrame, slop: int = 3, share: float = 0.8) -> DataFrame:
     """row, window, start and found: places where at least ``share`` of a window's words, its rarest
-    among them, stand within ``slop`` places of where they belong."""
+    among them, stand within ``slop`` places of where they belong.  ``near`` needs no certain word."""
     each = candidates(order, postings).select("row", "window", "start", F.size("by").alias("length"), F.explode("by").alias("x"))
     want = each.select("row", "window", "start", "length", F.col("x.off").alias("off"), F.col("x.term").alias("term"), (F.col("start") + F.col("x.off")).alias("p"))
     want = want.withColumn("cell", F.explode(F.sequence(F.floor((F.col("p") - slop) / (slop + 1)), F.floor((F.col("p") + slop) / (slop + 1)))))
@@ -89,8 +90,42 @@ def proximity(order: DataFrame, postings: DataFrame, slop: int = 3, share: float
     return hit.groupBy("row", "window", "start", "length").agg(F.count_distinct("off").alias("found")).filter(F.col("found") >= F.col("length") * share)
 
 
+def near(docs: DataFrame, wins: DataFrame, postings: DataFrame, slop: int = SLOP, share: float = SHARE) -> DataFrame:
+    """_id, _key and near_items of every text in which ``share`` of a window's words stand near their places.
+
+    Of the rarest words, one more than may be missing, at least one stands in such a place; every
+    posting of each of them is tried with the words around it, of which all others are taken within
+    ``slop`` places of where they belong from there.  Words that no text has count as missing.
+    """
+    counts = postings.filter("pos >= 0").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    each = wins.select("window", "items", F.size("terms").alias("length"), F.posexplode("terms").alias("off", "term"))
+    counted = each.join(few(counts, 1_000_000), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    order = counted.groupBy("window", "length").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("by"), F.first("items").alias("items"))
+    order = order.withColumn("need", F.ceil(F.round(F.col("length") * F.lit(share), 6)).cast("int")).withColumn("seeds", F.col("length") - F.col("need") + 1)
+    seeds = order.select("window", "items", "length", "need", "seeds", "by", F.posexplode(F.slice("by", F.lit(1), F.col("seeds"))).alias("k", "x"))
+    # one more of the rarest words is there too, where two are needed at all
+    others = F.filter(F.slice("by", F.lit(1), F.col("seeds") + 1), lambda y: y["off"] != F.col("x.off"))
+    words = F.transform("by", lambda y: F.struct((y["off"] - F.col("x.off")).alias("d"), y["term"].alias("term")))
+    distinct = F.array_distinct(F.transform("by", lambda y: y["term"]))
+    table = cut(seeds.select("items", "need", distinct.alias("distinct"), (F.size(distinct) - F.col("seeds") + 1).alias("least"), F.col("x.term").alias("_term"), F.transform(others, lambda y: y["term"]).alias("others"), words.alias("words")), "seeds")
+    reach = wins.agg(F.max(F.size("terms"))).first()[0] or 0
+    pad = F.array_repeat(F.lit(0).cast("long"), reach + slop)
+    texts = docs.select(F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_key"), F.transform(letter_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    padded = texts.select("_id", "_key", "h", F.concat(pad, "h", pad).alias("wide"))
+    width = 2 * (reach + slop) + 1
+    around = F.transform("h", lambda t, i: F.struct(t.alias("term"), F.slice("wide", i + 1, F.lit(width)).alias("around")))
+    places = padded.select("_id", "_key", F.explode(around).alias("p")).select("_id", "_key", F.col("p.term").alias("term"), F.col("p.around").alias("around"))
+    tried = places.join(few(table, 200_000), F.col("term") == F.col("_term")).filter((F.col("need") == 1) | F.arrays_overlap("around", "others"))
+    middle = reach + slop + 1
+    there = F.filter("words", lambda y: F.when(y["d"] == 0, F.lit(True)).otherwise(F.array_contains(F.slice("around", y["d"] + (middle - slop), F.lit(2 * slop + 1)), y["term"])))
+    found = tried.filter(F.size(F.array_intersect("around", "distinct")) >= F.col("least")).filter(F.size(there) >= F.col("need"))
+    per_item = found.select("_id", "_key", F.explode_outer("items").alias("item")).distinct()
+    return per_item.groupBy("_id", "_key").agg(F.count("item").alias("near_items"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, key, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
+    """doc_id, key, n_words, n_hit, n_items, items_sha256 and contaminated (exact matches), near_items and
+    near (proximity matches, exact ones among them) of every row."""
     wins = cut(windows(benchmark, span), "windows")
     postings = cut(index(docs, wins.select(F.explode("terms").alias("term")).distinct()), "postings")
     order = cut(ranked(wins, postings), "order")
@@ -104,12 +139,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> Da
     texts = postings.filter("pos = -1").select("row", "doc_id", "key", "n_words").join(per_row, "row", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return texts.select("doc_id", "key", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    close = near(docs, wins, postings)
+    texts = texts.join(close, texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["key"] == F.col("_key")), "left")
+    return texts.select("doc_id", "key", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("near_items", F.lit(0)).alias("near_items"), F.col("near_items").isNotNull().alias("near"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window stands."""
-    out = decontaminate(docs, benchmark, span).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    """The rows of ``docs`` in which no benchmark window stands, word by word or nearly."""
+    out = decontaminate(docs, benchmark, span).filter("contaminated or near").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     bad = cut(out, "contaminated")
     small = few(bad, 1_000_000)
     keyed = docs.withColumn("_k", text_key(F.col("text")))

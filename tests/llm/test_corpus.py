@@ -332,6 +332,40 @@ def test_substrings(spark, docs, none, rows):
     assert [t for d, t in left if d in (7, None)] == ["", "", ""]
 
 
+def test_nearly_quoted_passages_are_found_and_dropped(spark):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n)]
+    item, short, again = words(14), words(4), ["ha"] * 6 + ["no"] * 4
+    common = [*item[:6], *words(3), *item[7:]]
+    texts = {0: words(40), 1: [*words(8), *item, *words(8)], 2: [*item[2:10], *words(9)], 3: [*words(9), *short, *words(2)], 4: item[:7], 5: [*words(3), *short[:2], *words(5), *short[2:], *words(9)]}
+    for k in range(14):
+        changed = list(item)
+        changed[k] = "zzz"
+        texts[10 + k] = [*words(5), *changed, *words(5)]
+        texts[30 + k] = [*words(5), *item[:k], "zzz", *item[k:], *words(5)]
+        texts[50 + k] = [*words(5), *item[:k], *item[k + 1 :], *words(5)]
+    texts[70] = [*words(5), *[w if i % 9 else "zzz" for i, w in enumerate(item)], *words(5)]
+    texts[71] = [*words(5), *[w if i % 3 else "zzz" for i, w in enumerate(item)], *words(5)]
+    texts[72] = [*words(5), *again[:5], "zzz", *again[6:], *words(5)]
+    table = spark.createDataFrame([(d, " ".join(t), "x") for d, t in texts.items()] + [(None, " ".join(common), "x")], "doc_id long, text string, _x string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short)), (None, " ".join(item)), (3, "never seen before"), (4, " ".join(again))], "item_id long, text string")
+    wins = [item[i : i + 10] for i in range(5)] + [short, "never seen before".split(), again]
+
+    def brute(text):
+        for w in wins:
+            for s in range(-10, len(text)):
+                places = [[p for p in range(max(0, s + o - 3), s + o + 4) if p < len(text) and text[p] == x] for o, x in enumerate(w)]
+                if sum(map(bool, places)) >= 0.8 * len(w) and any(s + o in p for o, p in enumerate(places)):
+                    return True
+        return False
+
+    out = {r.doc_id: r for r in decontaminate.decontaminate(table, bench).collect()}
+    assert {d: r.near for d, r in out.items()} == {d: brute(t) for d, t in texts.items()} | {None: brute(common)}
+    assert not out[0].near and not out[4].near and not out[5].near and not out[71].near
+    assert all(out[d].near and out[d].near_items == 1 for d in (1, 2, 3, *range(10, 24), *range(30, 44), 70, 72))
+    assert {r.doc_id for r in decontaminate.drop_contaminated(table, bench).collect()} == {d for d, r in out.items() if not r.near}
+
+
 def test_runs_cover_what_all_runs_cover(spark):
     rng = random.Random(4)
     sentence = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + ". "
