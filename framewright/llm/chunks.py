@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 CHUNK = re.compile(r"\s*\S+(?:\s{2,}\S+)*(?:\s+\Z)?|\s+")
 SAFE = re.compile(r"(?<=\S)(?=\s\S)")
+#: White space for Python alone: pre-tokenizers take it as any other mark.
+SEPARATOR = re.compile(r"[\x1c-\x1f]")
 #: Characters of a text that are cut into chunks at once; more is taken piece by piece.
 PIECE = 1 << 20
 #: Distinct chunks, and runs within them, that a worker remembers, and the longest one.
@@ -117,7 +119,7 @@ class ChunkMemo:
         return out
 
     def of(self, text: str) -> list:
-        if self.special in text:  # special strings are found before chunks, so such a text stays whole
+        if self.special in text or SEPARATOR.search(text):  # special strings are found before chunks, so such a text stays whole
             return [self.whole(text)]
         return [value for piece in pieces(text) for value in self._piece(piece)] if text else []
 

@@ -125,6 +125,17 @@ def test_token_counts_and_cache(spark, docs, none, rows, tmp_path):
     assert token_counts.token_counts(docs.limit(20), piece).count() == 20
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_separators_are_no_white_space_to_tokenizers(name):
+    path = tokenizer_path(name)
+    whole = chunks.load(path)
+    memo = chunks.ChunkMemo(whole, list, lambda x: [i for y in x for i in y], name.startswith("byte"))
+    rng = random.Random(1)
+    texts = ["!!\x1c!!", "!\x1f!", "a\x1d b", *["".join(rng.choice("!a 1\x1c\x1d\x1e\x1f\n") for _ in range(12)) for _ in range(200)]]
+    for text in texts:
+        assert [i for ids in memo.of(text) for i in ids] == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_licenses(docs, none, rows):
     want = Counter()
     for r in rows:
