@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..workers import reach
 
@@ -63,9 +64,41 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: The most bytes, by ``weight``, that ``few`` broadcasts.
+SMALL = 32 << 20
+
+
+def weight(kind: T.DataType, value: Column) -> Column:
+    """About the bytes that a value takes in memory; texts in arrays count by their JSON."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(16) + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+            return F.lit(32) + 2 * F.coalesce(F.octet_length(F.to_json(value)), F.lit(0))
+        return F.lit(32) + F.coalesce(F.size(value), F.lit(0)) * (16 + 24 * len(inner.fields) if isinstance(inner, T.StructType) else 8)
+    return F.lit(16)
+
+
+def few(df: DataFrame, rows: int, size: int = SMALL) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows and about ``size``
+    bytes; else as it is.  The joins that take it give the same rows either way."""
+    each = sum((weight(f.dataType, F.col(f"`{f.name}`")) for f in df.schema), F.lit(32)).cast("long")
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(each)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct ``_fw_row`` beside doc_id and the text's key, as ``_fw_id`` and ``_fw_key``.
+
+    Whatever its columns are called, they clash with none of an operator's; ``unpacked`` is the way back.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("_fw_row"), F.col("doc_id").alias("_fw_id"), text_key(F.col("text")).alias("_fw_key"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_fw_row.*")
 
 
 def spaced(text: Column) -> Column:
@@ -105,3 +138,27 @@ def arrow_rows(df: DataFrame, rows: int = 256) -> DataFrame:
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
     return df
+
+
+#: The most bits of a ``probe``; 512 KiB.
+PROBE_BITS = 1 << 22
+
+
+def probe(known: DataFrame, column: str, most: int = PROBE_BITS):
+    """A test for 64-bit hashes: true for all in ``known[column]``, and for few others.
+
+    Its bits, eight for each hash and ``most`` in all, are part of the plan, so arrays can be thinned
+    before they are exploded; with more hashes it lets more pass.  An exact join has to follow.
+    """
+    bits = 1 << max(10, min(most.bit_length() - 1, (8 * known.count()).bit_length()))
+    h = F.col(column)
+    word, one = F.shiftright(h.bitwiseAND(F.lit(bits - 1).cast("long")), 6), _bit(h)
+    table = [0] * (bits // 64)
+    for at, value in known.groupBy(word.alias("at")).agg(F.bit_or(one)).collect():  # a row for each word of the table
+        table[at] = value
+    made = F.from_json(F.lit(str(table)), "array<bigint>")
+    return lambda x: F.get(made, F.shiftright(x.bitwiseAND(F.lit(bits - 1).cast("long")), 6).cast("int")).bitwiseAND(_bit(x)) != 0
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
