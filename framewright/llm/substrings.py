@@ -81,21 +81,28 @@ def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS)
     shortest that ends, at each sentence of the text; each run once.
 
     Both lie in every longer run from or to there, so together they cover any repeated run whole.
+    Parts without a word begin and end no run, and don't count as sentences: with one more of them a
+    run would have the same words twice in one place.
     """
     import xxhash
 
-    total, words = [0], []
+    total, words, at = [0], [], []  # words up to the end of each sentence with words, and its place
+    place = 0
     for _, some, inner in _sentences(text):
-        total += [len(words) + i for i in inner]
-        words += some
-        total.append(len(words))
+        starts = [0, *inner]
+        at += range(place, place + len(starts)) if some else ()
+        place += len(starts)
+        if some:
+            total += [len(words) + i for i in inner]
+            words += some
+            total.append(len(words))
     n = len(total) - 1
     ends = [0, *accumulate(len(w) + 1 for w in words)]
-    joined, at = b" ".join(words), [ends[k] for k in total]
+    joined, byte = b" ".join(words), [ends[k] for k in total]
 
     def run(i: int, end: int) -> tuple[int, int, int]:
-        h = xxhash.xxh64_intdigest(joined[at[i] : at[end] - 1])
-        return i, end - i, h - (1 << 64) if h >> 63 else h
+        h = xxhash.xxh64_intdigest(joined[byte[i] : byte[end] - 1])
+        return at[i], at[end - 1] - at[i] + 1, h - (1 << 64) if h >> 63 else h
 
     last = -1  # the last sentence from which a run can end at ``end``
     for end in range(least_sentences, n + 1):
