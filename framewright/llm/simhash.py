@@ -12,14 +12,17 @@ fingerprint thus has 3 to 18 keys (A with B's index, B with A's, C with A's).
 
 Copies collapse first: only distinct fingerprints get keys.  A key with two fingerprints is a
 candidate pair; up to CROWD of them are compared inside their bucket, which yields a spanning forest
-of its verified links instead of all pairs; fingerprints of larger buckets are linked exactly by
-another key: two of them are within two bits if, and only if, they share a neighbour within one bit,
-and at most 65 fingerprints share one.
+of its verified links instead of all pairs.  The fingerprints of a larger bucket agree in one segment
+and are near in a second, so they get one key more, of the Golay code again: the codeword indices near
+the third segment.  Two of them that are linked share one of these too, as neither segment has more
+than two errors.  Fingerprints of a bucket that is larger even so (all three segments agree or are
+near) are linked exactly without gathering it: two of them are within two bits if, and only if, they
+share a neighbour within one bit, and at most 65 fingerprints share one.
 
 Cases: a text without words (null too) has fingerprint zero and links like any other; fewer words
 than a shingle make one shingle of all; null doc_ids take part but never name a component unless it
 has no other; repeated rows are rows of their own; an empty table gives an empty result; columns
-other than doc_id and text are ignored.
+other than doc_id and text are ignored, and ``deduplicate`` returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, few, text_key
+from .common import arrow_rows, cut, few, packed, text_key, unpacked
 from .graph import components
 
 SHINGLE, SEED, DISTANCE, CROWD = 3, 42, 2, 4096
@@ -121,19 +124,47 @@ def golay_keys(words):
     return np.where(found < 0, -1, (words[:, None] ^ found) >> 11)
 
 
+#: The segments by number: their first bit and their width.
+SEGMENTS = {1: (0, 23), 2: (23, 23), 3: (46, 18)}
+#: The kinds of keys: the segment without error, the one that is decoded, and the third.
+KINDS = ((1, 2, 3), (2, 1, 3), (3, 1, 2))
+
+
+def _segment(fp, number: int):
+    at, width = SEGMENTS[number]
+    return fp >> at & (1 << width) - 1
+
+
 def _keys(batches):
+    """k (kind, exact segment, codeword index) and fp."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False)
-        a, b, c = fp & 0x7FFFFF, fp >> 23 & 0x7FFFFF, fp >> 46 & 0x3FFFF
-        ga, gb = golay_keys(a), golay_keys(b)
-        keys = np.concatenate([np.where(g < 0, -1, kind << 40 | exact[:, None] << 12 | g) for kind, exact, g in ((1, a, gb), (2, b, ga), (3, c, ga))], axis=1)
+        made = [(kind, _segment(fp, kind), golay_keys(_segment(fp, near))) for kind, near, _ in KINDS]
+        keys = np.concatenate([np.where(g < 0, -1, kind << 40 | exact[:, None] << 12 | g) for kind, exact, g in made], axis=1)
         used = keys >= 0
         yield pa.RecordBatch.from_arrays([pa.array(keys[used]), pa.array(np.broadcast_to(fp[:, None], keys.shape)[used])], ["k", "fp"])
 
 
+def _third_keys(batches):
+    """k, t (the codeword indices near the segment that k leaves out) and fp of (k, fp)."""
+    import numpy as np
+    import pyarrow as pa
+
+    third = {kind: last for kind, _, last in KINDS}
+    for batch in batches:
+        k, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        keys = np.full((len(k), 6), -1, np.int64)
+        for kind, last in third.items():
+            mine = k >> 40 == kind
+            keys[mine] = golay_keys(_segment(fp[mine], last))
+        used = keys >= 0
+        wide = [np.broadcast_to(c[:, None], keys.shape)[used] for c in (k, fp)]
+        yield pa.RecordBatch.from_arrays([pa.array(wide[0]), pa.array(keys[used]), pa.array(wide[1])], ["k", "t", "fp"])
+
+
 def _bucket_links(batches):
     """A spanning forest of the links within each bucket."""
     import numpy as np
@@ -160,22 +191,36 @@ def _bucket_links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
+def _linked(keys: DataFrame, by: list[str], crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Edges of the buckets of up to ``crowd`` fingerprints, and the rows of the larger ones."""
+    buckets = cut(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "buckets")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
+    pairs = buckets.filter("n = 2").filter(near).select("a", "b")
+    some = few(buckets.filter(f"n > 2 and n <= {crowd}").select(*by), 100_000)
+    gathered = keys.join(some, by).groupBy(*by).agg(F.collect_list("fp").alias("fps")).select("fps")
+    edges = pairs.unionByName(arrow_rows(gathered).mapInArrow(_bucket_links, "a long, b long"))
+    return edges, keys.join(few(buckets.filter(f"n > {crowd}").select(*by), 100_000), by)
+
+
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges a - b between linked fingerprints that connect all that links connect.
 
     ``distinct`` has each fingerprint once, as ``fp``.
     """
-    keys = arrow_rows(distinct.select("fp"), 4096).mapInArrow(_keys, "k long, fp long")
-    buckets = cut(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "buckets")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    out = buckets.filter("n = 2").filter(near).select("a", "b")
-    some = few(buckets.filter(f"n > 2 and n <= {crowd}").select("k"), 100_000)
-    out = out.unionByName(arrow_rows(keys.join(some, "k").groupBy("k").agg(F.collect_list("fp").alias("fps")).select("fps")).mapInArrow(_bucket_links, "a long, b long"))
-    crowded = few(buckets.filter(f"n > {crowd}").select("k"), 100_000)
-    packed = keys.join(crowded, "k").select("fp").distinct()
+    keys = cut(arrow_rows(distinct.select("fp"), 4096).mapInArrow(_keys, "k long, fp long"), "keys")
+    edges, crowded = _linked(keys, ["k"], crowd)
+    crowded = cut(crowded.select("k", "fp"), "crowded")
+    if not crowded.isEmpty():
+        inner, packed_ = _linked(cut(arrow_rows(crowded, 4096).mapInArrow(_third_keys, "k long, t long, fp long"), "third"), ["k", "t"], crowd)
+        edges = edges.unionByName(inner).unionByName(_stars(packed_.select("fp").distinct()))
+    return edges.distinct()
+
+
+def _stars(fps: DataFrame) -> DataFrame:
+    """Edges from the least to every other fingerprint of those that share a neighbour within one bit."""
     one_off = F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.when(i < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    stars = packed.select("fp", F.explode(one_off).alias("z")).groupBy("z").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    return out.unionByName(stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")).distinct()
+    stars = fps.select("fp", F.explode(one_off).alias("z")).groupBy("z").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    return stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -195,13 +240,13 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 def deduplicate(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``docs`` with one row of each component: the one of smallest doc_id (then key), once."""
     found = near_duplicates(docs, crowd)
-    first = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key"))
-    keyed = docs.withColumn("_k", text_key(F.col("text")))
-    kept = keyed.join(cut(first, "kept").hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_k"] == F.col("_key")), "left_semi")
-    return _once(kept).select(docs.columns)
+    first = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("_fw_of"), F.col("x.key").alias("_fw_with"))
+    rows = packed(docs)
+    kept = rows.join(cut(first, "kept").hint("shuffle_hash"), rows["_fw_id"].eqNullSafe(F.col("_fw_of")) & (rows["_fw_key"] == F.col("_fw_with")), "left_semi")
+    return unpacked(_once(kept))
 
 
 def _once(kept: DataFrame) -> DataFrame:
     """Drop rows that repeat both id and text; only those are gathered, by id."""
-    again = kept.groupBy("doc_id", "_k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return kept.dropDuplicates(["doc_id", "_k"]) if not again.isEmpty() else kept
+    again = kept.groupBy("_fw_id", "_fw_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return kept.dropDuplicates(["_fw_id", "_fw_key"]) if not again.isEmpty() else kept
