@@ -9,12 +9,13 @@ the text word by word.  ``near`` finds what is nearly a window, from the words a
 each of its rarest ones.
 
 Everything is joins and sums on (row, place): a very common word is spread over its rows, and a
-window costs its rarest word's postings.  Window tables are broadcast if they are counted to be
+window costs its rarest word's postings.  Window tables are broadcast if they are measured to be
 small.  Words are compared by 64-bit hashes.
 
 Cases: null text has no words; null items match nothing, and items without an id count in no list;
 repeated rows give a row each; null doc_ids stay; an empty benchmark leaves all clean; empty
-documents give an empty result; columns other than doc_id, text and item_id, text are ignored.
+documents give an empty result; columns other than doc_id, text and item_id, text are ignored, and
+``drop_contaminated`` returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, few, letter_words, text_key
+from .common import cut, few, letter_words, packed, probe, text_key, unpacked
 
 SPAN, SLOP, SHARE = 10, 3, 0.8
 
@@ -37,14 +38,20 @@ def windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (row, pos, term) of ``terms``, and a row with pos -1, doc_id, key and n_words per text."""
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key(F.col("text")).alias("key"), letter_words(F.col("text")).alias("words"))
-    marked = texts.select("row", "doc_id", "key", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("at", "word"))
-    head = F.col("at") == 0
+    """Postings (row, pos, term) of ``terms``, and a row with pos -1, doc_id, key and n_words per text.
+
+    A text's words are thinned to those that may be among the terms before they become rows.
+    """
+    maybe = probe(terms, "term")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key(F.col("text")).alias("key"), F.transform(letter_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    posting = "struct<pos:int,term:bigint>"
+    head = F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("term")).cast(posting)
+    places = F.array_compact(F.transform("h", lambda t, i: F.when(maybe(t), F.struct(i.alias("pos"), t.alias("term")).cast(posting))))
+    marked = texts.select("row", "doc_id", "key", F.size("h").cast("long").alias("n_words"), F.explode(F.concat(F.array(head), places)).alias("x")).select("row", "doc_id", "key", "n_words", "x.*")
     known = terms.select(F.col("term").alias("_term"))
-    hashed = marked.withColumn("term", F.when(~head, F.xxhash64("word")))
-    found = hashed.join(few(known, 1_000_000), F.col("term") == F.col("_term"), "left").filter(head | F.col("_term").isNotNull())
-    return found.select("row", (F.col("at") - 1).alias("pos"), "term", *[F.when(head, F.col(c)).alias(c) for c in ("doc_id", "key", "n_words")])
+    is_head = F.col("pos") < 0
+    found = marked.join(few(known, 1_000_000), F.col("term") == F.col("_term"), "left").filter(is_head | F.col("_term").isNotNull())
+    return found.select("row", "pos", "term", *[F.when(is_head, F.col(c)).alias(c) for c in ("doc_id", "key", "n_words")])
 
 
 def ranked(wins: DataFrame, postings: DataFrame) -> DataFrame:
@@ -57,32 +64,32 @@ def ranked(wins: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def candidates(order: DataFrame, postings: DataFrame) -> DataFrame:
-    """row, window, start and by: where the windows of each posting of their rarest word would begin."""
-    first = few(order.select("window", "by", F.col("by")[0]["term"].alias("term"), F.col("by")[0]["off"].alias("off")), 200_000)
-    return postings.filter("pos >= 0").select("row", "pos", "term").join(first, "term").select("row", "window", (F.col("pos") - F.col("off")).alias("start"), "by").filter("start >= 0")
+    """row, window and start: where the windows of each posting of their rarest word would begin."""
+    first = few(order.select("window", F.col("by")[0]["term"].alias("term"), F.col("by")[0]["off"].alias("off")), 1_000_000)
+    return postings.filter("pos >= 0").select("row", "pos", "term").join(first, "term").select("row", "window", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
 
 
 def phrases(order: DataFrame, postings: DataFrame) -> DataFrame:
     """row, window, start and length of every exact occurrence of a window."""
     places = postings.filter("pos >= 0").select(F.col("row").alias("_row"), F.col("pos").alias("_pos"), F.col("term").alias("_term"))
+    there = (F.col("row") == F.col("_row")) & (F.col("p") == F.col("_pos")) & (F.col("t") == F.col("_term"))
     found = cut(candidates(order, postings), "candidates")
-    long_, short = found.filter(F.size("by") > 1), found.filter(F.size("by") == 1)
-    second = long_.withColumn("t", F.col("by")[1]["term"]).withColumn("p", F.col("start") + F.col("by")[1]["off"])
-    those = few(order.filter("length > 1").select(F.col("by")[1]["term"].alias("_term")).distinct(), 200_000)
-    rare = places.join(those, "_term", "left_semi")
-    left = cut(second.join(rare, (F.col("row") == F.col("_row")) & (F.col("p") == F.col("_pos")) & (F.col("t") == F.col("_term")), "left_semi").select("row", "window", "start", "by"), "second")
-    done = left.filter(F.size("by") == 2).select("row", "window", "start", F.size("by").alias("length"))
-    rest = left.filter(F.size("by") > 2).select("row", "window", "start", F.size("by").alias("length"), F.explode(F.slice("by", F.lit(3), F.size("by"))).alias("x")).select("row", "window", "start", "length", (F.col("start") + F.col("x.off")).alias("p"), F.col("x.term").alias("t"))
+    next_ = few(order.select("window", "length", F.get("by", F.lit(1))["term"].alias("t"), F.get("by", F.lit(1))["off"].alias("off")), 1_000_000)
+    tried = found.join(next_, "window").select("row", "window", "start", "length", "t", (F.col("start") + F.col("off")).alias("p"))
+    rare = places.join(few(order.filter("length > 1").select(F.col("by")[1]["term"].alias("_term")).distinct(), 1_000_000), "_term", "left_semi")
+    left = cut(tried.filter("length > 1").join(rare, there, "left_semi").select("row", "window", "start", "length"), "second")
+    others = few(order.filter("length > 2").select("window", F.explode(F.slice("by", F.lit(3), F.size("by"))).alias("x")).select("window", F.col("x.off").alias("off"), F.col("x.term").alias("t")), 4_000_000)
+    rest = left.filter("length > 2").join(others, "window").select("row", "window", "start", "length", "t", (F.col("start") + F.col("off")).alias("p"))
     rows = few(left.select(F.col("row").alias("_row")).distinct(), 1_000_000)
-    near = places.join(rows, "_row", "left_semi")
-    all_there = rest.join(near, (F.col("row") == F.col("_row")) & (F.col("p") == F.col("_pos")) & (F.col("t") == F.col("_term"))).groupBy("row", "window", "start", "length").agg(F.count(F.lit(1)).alias("n")).filter("n = length - 2")
-    return short.select("row", "window", "start", F.lit(1).alias("length")).unionByName(done).unionByName(all_there.drop("n"))
+    all_there = rest.join(places.join(rows, "_row", "left_semi"), there).groupBy("row", "window", "start", "length").agg(F.count(F.lit(1)).alias("n")).filter("n = length - 2").drop("n")
+    short = tried.filter("length = 1").select("row", "window", "start", "length")
+    return short.unionByName(left.filter("length = 2")).unionByName(all_there)
 
 
 def proximity(order: DataFrame, postings: DataFrame, slop: int = 3, share: float = 0.8) -> DataFrame:
     """row, window, start and found: places where at least ``share`` of a window's words, its rarest
     among them, stand within ``slop`` places of where they belong.  ``near`` needs no certain word."""
-    each = candidates(order, postings).select("row", "window", "start", F.size("by").alias("length"), F.explode("by").alias("x"))
+    each = candidates(order, postings).join(order.select("window", "length", F.explode("by").alias("x")), "window")
     want = each.select("row", "window", "start", "length", F.col("x.off").alias("off"), F.col("x.term").alias("term"), (F.col("start") + F.col("x.off")).alias("p"))
     want = want.withColumn("cell", F.explode(F.sequence(F.floor((F.col("p") - slop) / (slop + 1)), F.floor((F.col("p") + slop) / (slop + 1)))))
     there = postings.filter("pos >= 0").select("row", "term", "pos", F.floor(F.col("pos") / (slop + 1)).alias("cell"))
@@ -108,14 +115,16 @@ def near(docs: DataFrame, wins: DataFrame, postings: DataFrame, slop: int = SLOP
     words = F.transform("by", lambda y: F.struct((y["off"] - F.col("x.off")).alias("d"), y["term"].alias("term")))
     distinct = F.array_distinct(F.transform("by", lambda y: y["term"]))
     table = cut(seeds.select("items", "need", distinct.alias("distinct"), (F.size(distinct) - F.col("seeds") + 1).alias("least"), F.col("x.term").alias("_term"), F.transform(others, lambda y: y["term"]).alias("others"), words.alias("words")), "seeds")
+    maybe = probe(table.select("_term").distinct(), "_term")
     reach = wins.agg(F.max(F.size("terms"))).first()[0] or 0
     pad = F.array_repeat(F.lit(0).cast("long"), reach + slop)
     texts = docs.select(F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_key"), F.transform(letter_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     padded = texts.select("_id", "_key", "h", F.concat(pad, "h", pad).alias("wide"))
     width = 2 * (reach + slop) + 1
-    around = F.transform("h", lambda t, i: F.struct(t.alias("term"), F.slice("wide", i + 1, F.lit(width)).alias("around")))
-    places = padded.select("_id", "_key", F.explode(around).alias("p")).select("_id", "_key", F.col("p.term").alias("term"), F.col("p.around").alias("around"))
-    tried = places.join(few(table, 200_000), F.col("term") == F.col("_term")).filter((F.col("need") == 1) | F.arrays_overlap("around", "others"))
+    # only the words around a place of a rarest word are taken along
+    around = F.transform("h", lambda t, i: F.when(maybe(t), F.struct(t.alias("term"), F.slice("wide", i + 1, F.lit(width)).alias("around"))))
+    places = padded.select("_id", "_key", F.explode(F.array_compact(around)).alias("p")).select("_id", "_key", "p.term", "p.around")
+    tried = places.join(few(table, 1_000_000), F.col("term") == F.col("_term")).filter((F.col("need") == 1) | F.arrays_overlap("around", "others"))
     middle = reach + slop + 1
     there = F.filter("words", lambda y: F.when(y["d"] == 0, F.lit(True)).otherwise(F.array_contains(F.slice("around", y["d"] + (middle - slop), F.lit(2 * slop + 1)), y["term"])))
     found = tried.filter(F.size(F.array_intersect("around", "distinct")) >= F.col("least")).filter(F.size(there) >= F.col("need"))
@@ -134,7 +143,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> Da
     reached = F.coalesce(F.max(F.col("start") + F.col("length")).over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     new = F.greatest(F.lit(0), F.col("start") + F.col("length") - F.greatest("start", reached))
     hit = found.withColumn("new", new).groupBy("row").agg(F.sum("new").alias("n_hit"))
-    named = found.select("row", "window").distinct().join(few(order.select("window", "items"), 200_000), "window").select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    named = found.select("row", "window").distinct().join(few(order.select("window", "items"), 1_000_000), "window").select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     per_row = hit.join(named, "row", "left")
     texts = postings.filter("pos = -1").select("row", "doc_id", "key", "n_words").join(per_row, "row", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -146,8 +155,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window stands, word by word or nearly."""
-    out = decontaminate(docs, benchmark, span).filter("contaminated or near").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    out = decontaminate(docs, benchmark, span).filter("contaminated or near").select(F.col("doc_id").alias("_fw_of"), F.col("key").alias("_fw_with")).distinct()
     bad = cut(out, "contaminated")
     small = few(bad, 1_000_000)
-    keyed = docs.withColumn("_k", text_key(F.col("text")))
-    return keyed.join(small if small is not bad else bad.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_k"] == F.col("_key")), "left_anti").select(docs.columns)
+    rows = packed(docs)
+    return unpacked(rows.join(small if small is not bad else bad.hint("shuffle_hash"), rows["_fw_id"].eqNullSafe(F.col("_fw_of")) & (rows["_fw_key"] == F.col("_fw_with")), "left_anti"))
