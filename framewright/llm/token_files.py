@@ -16,6 +16,12 @@ Tokens are made in one pass into compressed frames; only frames are shuffled, ea
 writer task writes under a name of its own attempt and the manifest names the files of the attempts
 that succeeded, so retries and speculation leave at most files that nobody reads.
 
+There are as many files as the texts need to have about ``MOST`` bytes of text each, and more if that
+leaves cores idle, as long as each has ``LEAST``.  A writer so sorts and a seek table describes a
+bounded number of documents, whatever the corpus.  An id that many rows repeat (or null) takes as many
+files as its share asks for: its rows are dealt to them by their ids' checksum and, where rows repeat
+whole, in turn.
+
 Cases: null text is an empty text: only the end id; null doc_ids come first; rows that repeat a
 doc_id are documents of their own, ordered by length and checksum; an empty table gives an empty
 manifest.  Only ``doc_id`` and ``text`` are read.
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark import TaskContext
@@ -35,6 +42,8 @@ from . import chunks
 from .common import arrow_rows, cut, new_dir
 
 END_ID = 2
+#: Bytes of text for a file, at least where there are cores to spare, and at most.
+LEAST, MOST = 4 << 20, 512 << 20
 DOCS_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(2**63)
 FRAMES = "doc_id long, n_tokens long, ids_crc32 long, checksum long, frame binary, part int"
@@ -45,7 +54,8 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
 def encode(docs: DataFrame, tokenizer: str, bounds: list[int], end_id: int | None = END_ID, level: int = 3) -> DataFrame:
     """A compressed frame of ids, its length and checksums, and the file it belongs to, for every row.
 
-    File k takes the doc_ids over ``bounds[k - 1]`` and up to ``bounds[k]``; nulls go to the first.
+    File k takes the doc_ids over ``bounds[k - 1]`` and up to ``bounds[k]``; an id that is several bounds
+    is dealt to all files that end with it and the next one.  Nulls are the least id.
     """
 
     def frames(batches):
@@ -62,6 +72,7 @@ def encode(docs: DataFrame, tokenizer: str, bounds: list[int], end_id: int | Non
 
         memo = chunks.memo_of(tokenizer, "ids", lambda: chunks.ChunkMemo(made, raw_ids, b"".join, True)) if chunks.by_chunks(tokenizer) else None
         edges = np.array(bounds, np.int64)
+        wide, turns = set(edges[1:][edges[1:] == edges[:-1]].tolist()), Counter()
         for batch in batches:
             n, crc, check, out = [], [], [], []
             for text in batch.column(1):
@@ -72,7 +83,13 @@ def encode(docs: DataFrame, tokenizer: str, bounds: list[int], end_id: int | Non
                 check.append(xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
                 out.append(pack.compress(raw))
             ids = batch.column(0).cast(pa.int64())
-            part = np.searchsorted(edges, ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))
+            known = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            part = np.searchsorted(edges, known)
+            for i in np.flatnonzero(np.isin(known, list(wide))) if wide else ():
+                # rows that share id and tokens differ in nothing, so which of them has which turn doesn't matter
+                key = (int(known[i]), crc[i], n[i])
+                part[i] += (crc[i] + turns[key]) % (np.searchsorted(edges, known[i], "right") - part[i])
+                turns[key] += 1
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(check, pa.int64()), pa.array(out, pa.binary()), pa.array(part, pa.int32())], ["doc_id", "n_tokens", "ids_crc32", "checksum", "frame", "part"])
 
     return arrow_rows(docs.select("doc_id", "text")).mapInArrow(frames, FRAMES)
@@ -84,22 +101,30 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
-    """Write ``docs`` to files in ``folder`` (any URI pyarrow opens); returns the manifest.
+def bounds_of(docs: DataFrame, least: int = LEAST, most: int = MOST) -> list[int]:
+    """The last doc_id of every file but the last, in order; an id of very many rows several times.
 
-    There are as many files as shuffle partitions, each with about the same number of doc_ids; their
-    bounds come from a quantile sketch of the ids alone, so that no text is read or encoded twice.
+    They come from a quantile sketch of the ids, so no text is encoded twice.
     """
-    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    inner = F.percentile_approx(F.col("doc_id").cast("long"), [k / files for k in range(1, files)], 20 * files) if files > 1 else F.array()
-    bounds = sorted(set(docs.agg(inner.alias("x")).first()[0] or []))
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(-(-size // most), min(spark.sparkContext.defaultParallelism, -(-size // least)))
+    if files < 2:
+        return []
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return sorted(docs.agg(F.percentile_approx(key, [k / files for k in range(1, files)], 20 * files)).first()[0] or [])
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END_ID, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """Write ``docs`` to files in ``folder`` (any URI pyarrow opens); returns the manifest."""
+    bounds = bounds_of(docs, least, most)
     ordered = encode(docs, tokenizer, bounds, end_id).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "n_tokens", "ids_crc32")
 
     def write_file(batches):
         import pyarrow as pa
 
         task = TaskContext.get()
-        name = f"ids-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
+        name = f"ids-{task.partitionId():09d}-{task.taskAttemptId()}.zst"
         system, path = _open(folder)
         sink, seek, listed, n_ids, size, first, last = None, [], [], 0, 0, None, None
         for batch in batches:
