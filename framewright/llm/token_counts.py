@@ -1,7 +1,7 @@
 """Token counts through a digest cache.
 
-A text's digest is the SHA-256 of its normalised content and of the tokenizer's version (the
-SHA-256 of its file); the cache is a Parquet table of digests and counts.  Rows are joined to the
+A text's digest is the SHA-256 of the tokenizer's version (the SHA-256 of its file) and of its
+normalised content; the cache is a Parquet table of digests and counts.  Rows are joined to the
 cache by digest, one text of every digest that misses is encoded, and the new counts are appended.
 
 Normalised content: for tokenizers that lower case and drop white space (see ``chunks.by_chunks``),
@@ -10,7 +10,8 @@ text with ``<|`` in it stays as it is, as special strings are found in the raw t
 
 Copies are dropped in each input partition before a text is shuffled, so a group of copies that
 holds a third of all rows sends one text per partition.  Rows meet their counts in a join of slim
-rows, whose hot digests adaptive execution splits.
+rows; the counts are a table with each digest once, so nothing stands between that join and its
+shuffles and adaptive execution splits the rows of a hot digest.
 
 Cases: null text counts as empty (0 tokens, 0 bytes); repeated rows give a row each; null doc_ids
 stay; an empty table gives an empty result; other columns are ignored; a cache folder that doesn't
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
@@ -35,14 +36,18 @@ def version(tokenizer: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def digest(text: Column, tokenizer: str) -> Column:
-    """The 32 bytes that a text has in the cache."""
-    text = F.coalesce(text, F.lit(""))
-    if tokenizer.endswith(".json") and chunks.by_chunks(tokenizer) and _lowers(tokenizer):
-        upper = "".join(chr(c) for c in range(65, 91))
-        plain = F.translate(F.btrim(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " ")), upper, upper.lower())
-        text = F.when(F.contains(text, F.lit("<|")), F.concat(F.lit("="), text)).otherwise(plain)
-    return F.unhex(F.sha2(F.concat(F.lit(version(tokenizer)), text), 256))
+def digester(tokenizer: str):
+    """A function from a text's UTF-8 bytes to the 32 bytes that it has in the cache."""
+    start = hashlib.sha256(version(tokenizer).encode())
+    plain = tokenizer.endswith(".json") and chunks.by_chunks(tokenizer) and _lowers(tokenizer)
+
+    def digest(raw: bytes) -> bytes:
+        made = start.copy()
+        # lower() and split() of bytes know ASCII alone
+        made.update(raw if not plain else b"=" + raw if b"<|" in raw else b" ".join(raw.lower().split()))
+        return made.digest()
+
+    return digest
 
 
 def _lowers(tokenizer: str) -> bool:
@@ -71,19 +76,6 @@ def counter(tokenizer: str):
     return lambda text: lengths([text])[0]
 
 
-def _first_of_each(batches):
-    """Drop rows whose digest this partition has had; only digests are remembered."""
-    import pyarrow as pa
-
-    seen: set = set()
-    for batch in batches:
-        keep = []
-        for x in batch.column(0).to_pylist():
-            keep.append(x not in seen)
-            seen.add(x)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def _stored(spark, cache: str) -> DataFrame | None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
@@ -95,9 +87,32 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     """doc_id, n_bytes, n_tokens, over_limit of every row; the cache has all digests afterwards."""
     spark = docs.sparkSession
     cache = cache or new_dir(spark, "token-cache")
-    text = F.coalesce("text", F.lit(""))
-    keyed = cut(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest(F.col("text"), tokenizer).alias("digest")), "digests")
-    known = _stored(spark, cache)
+
+    def raw(column):
+        import pyarrow as pa
+
+        return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+    def rows(batches):
+        import pyarrow as pa
+
+        of = digester(tokenizer)
+        for batch in batches:
+            texts = raw(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(of, texts), pa.binary())], ["doc_id", "n_bytes", "digest"])
+
+    def first_of_each(batches):
+        """Texts whose digest this partition has not had; only digests are remembered."""
+        import pyarrow as pa
+
+        of, seen = digester(tokenizer), set()
+        for batch in batches:
+            digests, keep = [], []
+            for x in map(of, raw(batch.column(0))):
+                keep.append(x not in seen)
+                seen.add(x)
+                digests.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0)], ["digest", "text"]).filter(pa.array(keep, pa.bool_()))
 
     def count(batches):
         import pyarrow as pa
@@ -109,16 +124,15 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
                 if d not in seen:
                     seen.add(d)
                     digests.append(d)
-                    numbers.append(n(t.as_py()))
+                    numbers.append(n(t.as_py() or ""))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(numbers, pa.int64())], ["digest", "n_tokens"])
 
-    texts = arrow_rows(docs.select(digest(F.col("text"), tokenizer).alias("digest"), text.alias("text")))
+    keyed = cut(arrow_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(rows, "doc_id long, n_bytes long, digest binary"), "digests")
+    local = arrow_rows(docs.select("text")).mapInArrow(first_of_each, "digest binary, text string")
+    known = _stored(spark, cache)
     if known is not None:
         missing = keyed.select("digest").distinct().join(known, "digest", "left_anti")
-        texts = texts.join(missing.hint("shuffle_hash"), "digest", "left_semi")
-    local = texts.mapInArrow(_first_of_each, "digest binary, text string")
-    new = local.repartition("digest").mapInArrow(count, COUNTS)
-    new.write.mode("append").parquet(cache)
-    stored = _stored(spark, cache)
-    counts = keyed.join(stored, "digest")
+        local = local.join(missing.hint("shuffle_hash"), "digest", "left_semi")
+    local.repartition("digest").mapInArrow(count, COUNTS).write.mode("append").parquet(cache)
+    counts = keyed.join(cut(_stored(spark, cache), "counts"), "digest")
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
