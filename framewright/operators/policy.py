@@ -54,11 +54,11 @@ def occluded(p: P.Params) -> Column:
 def loss_signals(p: P.Params, columns: list[str] = ()) -> Column:
     """How many signs of loss a frame has; radius and arc count where ``columns`` has them."""
     c = F.col
-    signs = [true(c("quality") < 0.12), ~true(c("residual") <= 4.5 * p.scale), ~true(c("coverage") >= p.min_coverage), ~true(c("points") >= p.min_points), occluded(p)]
+    signs = [true(c("quality") < max(p.min_quality, 0.12)), ~true(c("residual") <= 4.5 * p.scale), ~true(c("coverage") >= p.min_coverage), ~true(c("points") >= p.min_points), occluded(p)]
     if "radius_meas" in columns:
         signs.append(~true(F.abs(c("radius_meas") / F.lit(p.radius) - 1) <= P.RADIUS_TOLERANCE))
-    if "arc_gap" in columns:
-        signs.append(~true(c("arc_gap") <= 360 - p.min_coverage))
+    if "arc_gap" in columns and "arc_measured" in columns:
+        signs.append(~(true(c("arc_measured")) & true(c("arc_gap") <= 360 - p.min_coverage)))
     out = F.lit(0)
     for s in signs:
         out = out + s.cast("int")
@@ -69,35 +69,64 @@ def content(clipped: Column, bright: Column, sound: Column) -> Column:
     return F.when(clipped, 1).when(bright & sound, 0).otherwise(2)
 
 
-def content_reason(state: Column, bright: Column) -> Column:
-    return F.when(state == 1, "clipped").when(state == 0, "usable").when(~bright, "dark").otherwise("weak_geometry")
+def content_reason(state: Column, bright: Column, sound: Column, tear: Column, drop: Column, edges: Column, score: Column, maximum: Column, points: Column) -> Column:
+    """Why a frame's content is what ``state`` says, with the figures that it rests on."""
+    t = P.CONTENT_REASONS
+    names = F.concat_ws(", ", bits_to_edges(F.coalesce(edges, F.lit(0)).cast("int")))
+    border = F.format_string(t["border"], F.when(names == "", t["edge"]).otherwise(names), F.rint(F.coalesce(score, F.lit(0.0)) * 100).cast("int"))
+    weak = F.concat_ws("; ", F.when(~bright, F.format_string(t["dark"], maximum.cast("int"))), F.when(~sound, F.format_string(t["weak"], points.cast("int"))))
+    text = F.when(state == 1, F.when(tear, F.format_string(t["tear"], drop.cast("double") * 100)).otherwise(border)).when(state == 0, t["usable"]).otherwise(F.when(weak == "", t["unclear"]).otherwise(weak))
+    return F.substring(text, 1, P.REASON_CHARS)
 
 
 def kept(content_state: Column, centering_state: Column) -> Column:
     return (content_state != 1) & (centering_state != 2)
 
 
-def discard_ranges(frames: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``discarded``: in one of the inclusive ranges (start, end).
+def discard_ranges(frames: DataFrame, ranges: DataFrame | list[tuple[int, int]]) -> DataFrame:
+    """``discarded``: in one of the inclusive ranges (start, end) of the frame's sequence.
 
-    Ranges are cut to the frames that exist and turned into points, so the join is by equality.
+    A table (seq_id, start, end) holds for the sequences that it names, a list for all of them.  A
+    sequence's ranges meet its frames as one array, so a range costs nothing by its length.
     """
-    last = frames.agg(F.max("frame_idx")).first()[0]
-    top = -1 if last is None else last
-    points = ranges.filter(F.col("start") <= top).select(F.explode(F.sequence(F.col("start").cast("bigint"), F.least(F.col("end").cast("bigint"), F.lit(top).cast("bigint")))).alias("frame_idx")).distinct()
-    return frames.join(points.withColumn("_gone", F.lit(True)), "frame_idx", "left").withColumn("discarded", F.coalesce("_gone", F.lit(False))).drop("_gone")
+    i = F.col("frame_idx")
 
+    def inside(spans):
+        return true(F.exists(spans, lambda r: (i >= r["start"]) & (i <= r["end"])))
 
-def selection(frames: DataFrame, drop: list[int], keep: list[int]) -> DataFrame:
-    """``mask`` and ``origin``: drops always win, keeps only bring clipped frames back that are centred.
+    if isinstance(ranges, list):
+        spans = [F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ranges]
+        return frames.withColumn("discarded", inside(F.array(*spans)) if spans else F.lit(False))
+    each = ranges.groupBy("seq_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    return frames.join(each, "seq_id", "left").withColumn("discarded", inside(F.col("_spans"))).drop("_spans")
 
-    Frames in both lists are an error.
+
+def discard_messages(ranges: DataFrame, lengths: DataFrame) -> DataFrame:
+    """seq_id, start and message of every range that begins within its sequence (``seq_id``, ``frames``)."""
+    cut = ranges.join(lengths, "seq_id").filter(F.col("start") < F.col("frames")).withColumn("end", F.least("end", F.col("frames") - 1))
+    one, many = (F.format_string(x, *[F.col(c).cast("long") for c in cs]) for x, cs in (("frame descartado por perfil: src %d", ("start",)), ("rango descartado por perfil: src %d-%d", ("start", "end"))))
+    return cut.select("seq_id", "start", F.when(F.col("start") == F.col("end"), one).otherwise(many).alias("message"))
+
+
+def selection(frames: DataFrame, manual: DataFrame) -> DataFrame:
+    """``mask``, ``origin`` and ``selection_reason`` by the manual actions (seq_id, frame_idx, action).
+
+    Drops always win over the automatic decision; keeps only bring back clipped frames that are centred
+    and not discarded by a profile.  Any other keep, and a frame that is both, is an error.
     """
-    both = sorted(set(drop) & set(keep))
-    if both:
-        raise ValueError(f"frames both dropped and kept: {both[:12]}")
-    dropped, asked = F.col("frame_idx").isin(drop), F.col("frame_idx").isin(keep)
-    back = asked & ~F.col("auto_keep") & (F.col("content") == 1) & (F.col("centering") != 2) & ~F.col("discarded")
-    mask = F.when(dropped, False).when(back, True).otherwise(F.col("auto_keep") & ~F.col("discarded"))
-    origin = F.when(dropped | back, "manual").when(F.col("discarded"), "profile").otherwise("auto")
-    return frames.withColumn("mask", mask).withColumn("origin", origin)
+    t = P.SELECTION_REASONS
+    acts = manual.groupBy("seq_id", "frame_idx").agg(F.bool_or(F.col("action") == "drop").alias("_drop"), F.bool_or(F.col("action") == "keep").alias("_keep"))
+    f = frames.join(acts, ["seq_id", "frame_idx"], "left")
+    drop, keep, gone = true(F.col("_drop")), true(F.col("_keep")), F.col("discarded")
+    wrong = F.when(drop & keep, "both dropped and kept").when(keep & (F.col("centering") == 2), "kept without a centre").when(keep & (F.col("content") != 1), "kept but not clipped").when(keep & gone, "kept but discarded by the profile")
+    at = F.concat(F.lit("frame "), F.col("frame_idx").cast("string"), F.lit(" is "), wrong)
+    mask = F.when(wrong.isNotNull(), F.raise_error(at).cast("boolean")).when(drop, False).when(keep, True).otherwise(F.col("auto_keep") & ~gone)
+    origin = F.when(drop | keep, "manual").when(gone, "profile").otherwise("auto")
+    why = F.when(drop, t["drop"]).when(keep, t["keep"]).when(gone, t["profile"]).otherwise("")
+    return f.withColumn("mask", mask).withColumn("origin", origin).withColumn("selection_reason", why).drop("_drop", "_keep")
+
+
+def manual_counts(selected: DataFrame) -> DataFrame:
+    """How many frames of each sequence were dropped and kept by hand."""
+    by_hand = F.col("origin") == "manual"
+    return selected.groupBy("seq_id").agg(F.count_if(by_hand & ~F.col("mask")).alias("dropped"), F.count_if(by_hand & F.col("mask")).alias("recovered"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..params import CENTERING_REASONS as R
+
 
 def by_frame() -> WindowSpec:
     return Window.partitionBy("seq_id").orderBy("frame_idx")
@@ -141,23 +143,30 @@ def exposure_drops(df: DataFrame, fps: float, least_drop: float = 0.08, noise_fa
 
 
 def isolated_tears(df: DataFrame, fps: float, longest: float = 0.067) -> DataFrame:
-    """``tear``: candidates in runs (of eligible candidates) no longer than ``longest`` seconds."""
+    """``tear``: candidates in runs (of eligible candidates) no longer than ``longest`` seconds, and
+    ``run_length`` of such runs (0 elsewhere)."""
     if not fps > 0:
         raise ValueError("fps must be positive")
     out = with_islands(df.withColumn("_hit", F.col("candidate") & F.col("evaluable")), "_hit")
+    out = out.withColumn("run_length", F.when(F.col("_hit"), F.col("run_length")).otherwise(F.lit(0).cast("bigint")))
     return out.withColumn("tear", F.col("_hit") & (F.col("run_length") / F.lit(fps) <= longest + 1e-9)).drop("_hit", "run", "run_start")
 
 
 def centering(df: DataFrame, fps: float, anchor: str = "anchor", support: Column | None = None, conflict: Column | None = None) -> DataFrame:
-    """``centering``: 0 at anchors, 1 where support, a bridge or a short reach from one helps, else 2."""
+    """``centering``: 0 at anchors, 1 where support, a bridge or a short reach from one helps, else 2;
+    and ``centering_reason``."""
     extend, bridge = max(10, round(fps)), max(max(10, round(fps)), round(5 * fps))
     at = F.when(F.col(anchor), F.col("frame_idx"))
     before, after = previous(at), following(at)
     i = F.col("frame_idx")
     near = true(after - before <= bridge) | true(i - before <= extend) | true(after - i <= extend)
-    helped = (support if support is not None else F.lit(False)) | near
-    state = F.when(F.col(anchor), 0).when(conflict if conflict is not None else F.lit(False), 2).when(helped, 1).otherwise(2)
-    return df.withColumn("prev_anchor", before).withColumn("next_anchor", after).withColumn("centering", state)
+    supported = true(support) if support is not None else F.lit(False)
+    against = true(conflict) if conflict is not None else F.lit(False)
+    state = F.when(F.col(anchor), 0).when(against, 2).when(supported | near, 1).otherwise(2)
+    n = F.count(F.lit(1)).over(Window.partitionBy("seq_id"))
+    between = F.format_string(R["neighbours"], F.coalesce(before, F.lit(-1)).cast("long"), F.coalesce(after, n).cast("long"))
+    why = F.when(F.col(anchor), R["anchor"]).when(against, R["conflict"]).when(supported, R["support"]).when(near, between).otherwise(R["none"])
+    return df.withColumn("prev_anchor", before).withColumn("next_anchor", after).withColumn("centering", state).withColumn("centering_reason", why)
 
 
 def trend_fraction(values: Column, rising: bool, slack: float) -> Column:
@@ -171,3 +180,16 @@ def trend_fraction(values: Column, rising: bool, slack: float) -> Column:
 def tumbling(df: DataFrame, value: str, width: int, least: int) -> DataFrame:
     """The median of every ``width`` frames that have at least ``least`` known values."""
     return df.groupBy("seq_id", F.floor(F.col("frame_idx") / width).alias("window")).agg(F.count(value).alias("known"), F.percentile(F.col(value), F.lit(0.5)).alias("middle")).filter(F.col("known") >= least)
+
+
+def scale_drift(df: DataFrame, fps: float, radius: float, tolerance: float = 0.08, least: int = 5, least_all: int = 20, points: int = 35) -> DataFrame:
+    """Half-second windows whose median radius is off by more than ``tolerance``: first and last
+    frame, median and deviation.  Sequences with few measured radii have none."""
+    width = max(1, round(0.5 * fps))
+    known = F.when(F.col("radius_meas").isNotNull() & (F.col("points") >= points), F.col("radius_meas"))
+    every = Window.partitionBy("seq_id")
+    base = df.select("seq_id", "frame_idx", known.alias("r")).withColumn("all", F.count("r").over(every)).withColumn("last", F.max("frame_idx").over(every))
+    each = base.groupBy("seq_id", F.floor(F.col("frame_idx") / width).alias("w")).agg(F.count("r").alias("n"), F.first("all").alias("all"), F.first("last").alias("end"), F.percentile("r", F.lit(0.5)).alias("middle"))
+    off = F.col("middle") / F.lit(radius) - 1
+    first = (F.col("w") * width).cast("bigint")
+    return each.filter((F.col("n") >= least) & (F.col("all") >= least_all) & (F.abs(off) > tolerance)).select("seq_id", first.alias("first_frame"), F.least(first + width - 1, F.col("end")).alias("last_frame"), "middle", off.alias("deviation"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import identity, parse
+from ..functions import parse
 from ..operators import path as robust
 from ..operators import policy, regime, seqops, summary, track
-from ..params import CENTERING_STATES, CONTENT_STATES, EDGE_BITS, Params
+from ..params import CENTERING_REASONS, CENTERING_STATES, CONTENT_REASONS, CONTENT_STATES, SELECTION_REASONS, Params
 from ..sources import sinks
 from ..sources.frames import incomplete, load_frames, sparse, systematic
 from . import decide, solve
+from . import decision_sql as D
 
 P = Params()
 QUERIES: dict = {}
@@ -40,7 +41,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {FRAMES} {sql}" if sql.lstrip().startswith((",", "SELECT")) else sql
+            SQL[f.__name__] = f"WITH RECURSIVE {FRAMES} {sql}" if sql.lstrip().startswith((",", "SELECT")) else sql
         return f
 
     return add
@@ -147,7 +148,7 @@ _DROPS = f""", l AS (SELECT *, list_filter(coalesce(list(CASE WHEN evaluable THE
 m AS (SELECT *, list_concat(past, future) AS both_, list_aggregate(list_concat(past, future), 'median') AS mid, CASE WHEN evaluable AND len(past) >= 3 AND len(future) >= 3 THEN least(list_aggregate(past, 'median'), list_aggregate(future, 'median')) END AS baseline FROM l),
 c AS (SELECT *, coalesce(baseline - exposed >= greatest(0.08::double, 6 * 1.4826::double * list_aggregate(list_transform(both_, lambda x: abs(x - mid)), 'median')), false) AS candidate FROM m)"""
 _TEARS = f"""{_DROPS}, r AS (SELECT *, candidate AND evaluable AS hit, frame_idx - row_number() OVER (PARTITION BY seq_id, candidate AND evaluable ORDER BY frame_idx) AS g FROM c),
-t AS (SELECT *, hit AND count(*) OVER (PARTITION BY seq_id, hit, g) / 30.0 <= 0.067 + 1e-9 AS tear FROM r)"""
+t AS (SELECT *, CASE WHEN hit THEN count(*) OVER (PARTITION BY seq_id, hit, g) ELSE 0 END AS run_length, hit AND count(*) OVER (PARTITION BY seq_id, hit, g) / 30.0 <= 0.067 + 1e-9 AS tear FROM r)"""
 
 
 def tears(spark, sf_dir) -> DataFrame:
@@ -160,20 +161,21 @@ def exposure_drops(spark, sf_dir):
     return f.select("seq_id", "frame_idx", *r6("baseline"), "candidate")
 
 
-@query(f"{_TEARS} SELECT seq_id, frame_idx FROM t WHERE tear")
+@query(f"{_TEARS} SELECT seq_id, frame_idx, tear, run_length FROM t")
 def isolated_tears(spark, sf_dir):
-    return tears(spark, sf_dir).filter("tear").select("seq_id", "frame_idx")
+    return tears(spark, sf_dir).select("seq_id", "frame_idx", "tear", "run_length")
 
 
 _NEAR = """((next_anchor - prev_anchor <= 150) OR (prev_anchor IS NOT NULL AND frame_idx - prev_anchor <= 30) OR (next_anchor IS NOT NULL AND next_anchor - frame_idx <= 30))"""
 _CENTER = f""", a AS (SELECT *, max(CASE WHEN anchor THEN frame_idx END) OVER {rows("UNBOUNDED PRECEDING", "CURRENT ROW")} AS prev_anchor,
  min(CASE WHEN anchor THEN frame_idx END) OVER {rows("CURRENT ROW", "UNBOUNDED FOLLOWING")} AS next_anchor FROM SOURCE),
-ce AS (SELECT *, CASE WHEN anchor THEN 0 WHEN coalesce({_NEAR}, false) THEN 1 ELSE 2 END AS centering FROM a)"""
+ce AS (SELECT *, CASE WHEN anchor THEN 0 WHEN coalesce({_NEAR}, false) THEN 1 ELSE 2 END AS centering, CASE WHEN anchor THEN '{CENTERING_REASONS["anchor"]}'
+ WHEN coalesce({_NEAR}, false) THEN printf('{CENTERING_REASONS["neighbours"]}', coalesce(prev_anchor, -1), coalesce(next_anchor, count(*) OVER (PARTITION BY seq_id))) ELSE '{CENTERING_REASONS["none"]}' END AS centering_reason FROM a)"""
 
 
-@query(_CENTER.replace("SOURCE", "f").replace("150", "50").replace("<= 30", "<= 10") + " SELECT seq_id, frame_idx, centering FROM ce")
+@query(_CENTER.replace("SOURCE", "f").replace("150", "50").replace("<= 30", "<= 10") + " SELECT seq_id, frame_idx, centering, centering_reason FROM ce")
 def centering_states(spark, sf_dir):
-    return seqops.centering(load_frames(spark, sf_dir), 10.0).select("seq_id", "frame_idx", "centering")
+    return seqops.centering(load_frames(spark, sf_dir), 10.0).select("seq_id", "frame_idx", "centering", "centering_reason")
 
 
 _DECIDED = _TEARS + _CENTER.replace("SOURCE", "t") + ", d AS (SELECT *, CASE WHEN tear THEN 1 WHEN maximum >= 8 AND quality >= 0.1 THEN 0 ELSE 2 END AS content, NOT tear AND centering <> 2 AS keep FROM ce)"
@@ -199,10 +201,16 @@ def state_summary(spark, sf_dir):
 _NAMES = "CASE content WHEN 0 THEN 'usable' WHEN 1 THEN 'clipped' ELSE 'uncertain' END AS content_name, CASE centering WHEN 0 THEN 'reliable' WHEN 1 THEN 'reconstructed' ELSE 'unresolved' END AS centering_name"
 
 
-@query(f"{_DECIDED} SELECT seq_id, frame_idx, {_NAMES}, CASE content WHEN 1 THEN 'clipped' WHEN 0 THEN 'usable' ELSE CASE WHEN maximum < 8 THEN 'dark' ELSE 'weak_geometry' END END AS reason, keep FROM d")
+@query(
+    f"""{_DECIDED} SELECT seq_id, frame_idx, {_NAMES}, CASE content WHEN 1 THEN CASE WHEN k % 2 = 0 THEN printf('{CONTENT_REASONS["tear"]}', (baseline - exposed) * 100)
+ ELSE printf('{CONTENT_REASONS["border"]}', CASE k % 16 WHEN 0 THEN 'borde' ELSE concat_ws(', ', CASE WHEN k % 2 >= 1 THEN 'left' END, CASE WHEN k % 4 >= 2 THEN 'right' END, CASE WHEN k % 8 >= 4 THEN 'top' END, CASE WHEN k % 16 >= 8 THEN 'bottom' END) END, CAST(round_even(k / 100.0::double * 100, 0) AS INT)) END
+ WHEN 0 THEN '{CONTENT_REASONS["usable"]}' ELSE CASE WHEN maximum >= 8 AND quality >= 0.1 THEN '{CONTENT_REASONS["unclear"]}' ELSE concat_ws('; ', CASE WHEN maximum < 8 THEN printf('{CONTENT_REASONS["dark"]}', maximum) END, CASE WHEN quality < 0.1 THEN printf('{CONTENT_REASONS["weak"]}', k) END) END END AS reason, centering_reason, keep FROM d"""
+)
 def decision_table(spark, sf_dir):
     d = decided(spark, sf_dir)
-    return d.select("seq_id", "frame_idx", policy.names(F.col("content"), CONTENT_STATES).alias("content_name"), policy.names(F.col("centering"), CENTERING_STATES).alias("centering_name"), policy.content_reason(F.col("content"), F.col("maximum") >= P.dark_level).alias("reason"), "keep")
+    k, tear = F.col("k"), F.col("k") % 2 == 0
+    reason = policy.content_reason(F.col("content"), F.col("maximum") >= P.dark_level, F.col("quality") >= 0.1, tear, F.col("drop"), k % 16, k / 100.0, F.col("maximum"), k)
+    return d.select("seq_id", "frame_idx", policy.names(F.col("content"), CONTENT_STATES).alias("content_name"), policy.names(F.col("centering"), CENTERING_STATES).alias("centering_name"), reason.alias("reason"), "centering_reason", "keep")
 
 
 @query(
@@ -248,17 +256,26 @@ def robust_center(spark, sf_dir):
     return summary.robust_center(load_frames(spark, sf_dir)).select("seq_id", *r6("x", "y"))
 
 
-_JITTER = f""", v AS (SELECT seq_id, frame_idx, abs(raw_x - 120 - 0.2::double * frame_idx) AS v FROM f WHERE evaluable),
-s AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER {W} = 1 THEN abs(v - lag(v) OVER {W}) END AS step FROM v)"""
+_JITTER = f"""{_DECIDED}, o AS (SELECT *, row_number() OVER {W} - 1 AS output_frame FROM d WHERE keep),
+v AS (SELECT seq_id, output_frame, frame_idx AS source_frame, raw_x - (120 + 0.2::double * frame_idx) AS dx, raw_y - (180 + 0.1::double * frame_idx) AS dy FROM o WHERE raw_x IS NOT NULL),
+rs AS (SELECT *, {_hyp("dx", "dy")} AS residual, CASE WHEN output_frame - lag(output_frame) OVER (PARTITION BY seq_id ORDER BY output_frame) = 1
+ THEN {_hyp("dx - lag(dx) OVER (PARTITION BY seq_id ORDER BY output_frame)", "dy - lag(dy) OVER (PARTITION BY seq_id ORDER BY output_frame)")} END AS step FROM v),
+j AS (SELECT seq_id, count(*) AS validated, round(quantile_cont(residual, 0.5), 6) AS median, round(quantile_cont(residual, 0.95), 6) AS p95, round(max(residual), 6) AS maximum,
+ round(quantile_cont(step, 0.95), 6) AS jitter_p95, round(max(step), 6) AS jitter_maximum, count(*) FILTER (WHERE step > 1) AS jitter_over_1px FROM rs GROUP BY seq_id)"""
 
 
 def _residuals(spark, sf_dir) -> DataFrame:
-    return load_frames(spark, sf_dir).filter("evaluable").withColumn("residual", F.abs(F.col("raw_x") - 120 - F.lit(0.2) * F.col("frame_idx")))
+    i = F.col("frame_idx")
+    return summary.residuals(decided(spark, sf_dir), ("raw_x", "raw_y"), (F.lit(120.0) + F.lit(0.2) * i, F.lit(180.0) + F.lit(0.1) * i))
+
 
+def _metrics(spark, sf_dir) -> DataFrame:
+    return summary.jitter(_residuals(spark, sf_dir)).select("seq_id", "validated", *r6("median", "p95", "maximum", "jitter_p95", "jitter_maximum"), "jitter_over_1px")
 
-@query(f"{_JITTER} SELECT seq_id, count(v) AS n, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.95), 6) AS p95, round(max(v), 6) AS top, round(quantile_cont(step, 0.95), 6) AS jitter_p95, round(max(step), 6) AS jitter_top, count(*) FILTER (WHERE v > 1) AS over_one FROM s GROUP BY seq_id")
+
+@query(f"{_JITTER} SELECT * FROM j")
 def residual_jitter(spark, sf_dir):
-    return summary.jitter(_residuals(spark, sf_dir), "residual").select("seq_id", "n", *r6("median", "p95", "top", "jitter_p95", "jitter_top"), "over_one")
+    return _metrics(spark, sf_dir)
 
 
 @query("SELECT seq_id, frame_idx, k FROM f WHERE k IS NOT NULL ORDER BY k DESC, seq_id, frame_idx LIMIT 10")
@@ -267,7 +284,7 @@ def worst_frames(spark, sf_dir):
 
 
 @query(
-    f""", s AS (SELECT seq_id, CAST(k AS DOUBLE) - lag(k) OVER {W} AS d FROM f), p AS (SELECT seq_id, CASE WHEN d > 0 THEN d END AS d FROM s),
+    f""", s AS (SELECT seq_id, abs(CAST(k AS DOUBLE) - lag(k) OVER {W}) AS d FROM f), p AS (SELECT seq_id, CASE WHEN d > 0 THEN d END AS d FROM s),
 m AS (SELECT seq_id, quantile_cont(d, 0.5) AS m FROM p GROUP BY seq_id), t AS (SELECT p.seq_id, m, quantile_cont(abs(d - m), 0.5) AS s FROM p JOIN m USING (seq_id) GROUP BY p.seq_id, m)
 SELECT seq_id, round(coalesce(greatest(20, m + 6 * s), 20), 6) AS gate FROM t"""
 )
@@ -291,28 +308,75 @@ def contact_sheet(spark, sf_dir):
     return summary.grid(load_frames(spark, sf_dir)).select("seq_id", "frame_idx", F.col("sheet_row").cast("bigint").alias("sheet_row"), F.col("sheet_column").cast("bigint").alias("sheet_column"))
 
 
-@query()
+_PRIORITY = f"""{_DECIDED}, x AS (SELECT *, CASE WHEN tear THEN 0 WHEN content = 2 THEN 1 WHEN k % 10 = 3 THEN 2 END AS p, count(*) OVER (PARTITION BY seq_id) AS n FROM d),
+nb AS (SELECT seq_id, frame_idx + unnest([-2, -1, 1, 2]) AS frame_idx FROM x WHERE p IS NOT NULL),
+pr AS (SELECT x.seq_id, x.frame_idx, content, n, coalesce(p, CASE WHEN nb.seq_id IS NOT NULL THEN 3 END) AS priority FROM x LEFT JOIN (SELECT DISTINCT * FROM nb) AS nb USING (seq_id, frame_idx)),
+rk AS (SELECT *, priority IS NOT NULL AND row_number() OVER (PARTITION BY seq_id ORDER BY priority NULLS LAST, frame_idx) <= 58 AS taken FROM pr),
+rm AS (SELECT *, 58 - count(*) FILTER (WHERE taken) OVER (PARTITION BY seq_id) AS room FROM rk),
+po AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY frame_idx) - 1 AS nth, count(*) OVER (PARTITION BY seq_id) AS m FROM rm WHERE n > 58 AND content = 0 AND NOT taken),
+pk AS (SELECT DISTINCT seq_id, CAST(CASE WHEN least(room, m) = 1 THEN 0 ELSE floor(i * (m - 1) / (least(room, m) - 1)) END AS BIGINT) AS nth FROM (SELECT DISTINCT seq_id, room, m FROM po), range(58) AS t(i) WHERE i < least(room, m))
+SELECT seq_id, frame_idx, coalesce(priority, 4) AS priority FROM rm WHERE n <= 58 UNION ALL SELECT seq_id, frame_idx, priority FROM rm WHERE n > 58 AND taken
+UNION ALL SELECT seq_id, frame_idx, 4 FROM po JOIN pk USING (seq_id, nth)"""
+
+
+@query(_PRIORITY)
 def priority_sample(spark, sf_dir):
-    return summary.priority_sample(decided(spark, sf_dir), 12)
+    d = decided(spark, sf_dir).withColumn("clipped", F.col("tear")).withColumn("problem", F.col("k") % 10 == 3)
+    return summary.priority_sample(d, 58)
 
 
-_RANGES = [(10, 14), (30, 30), (5000, 6000)]
+def ranges_of(spark, sf_dir) -> DataFrame:
+    """Discard ranges: one of every sequence, frame 30 of every second one, and one past the end."""
+    seqs = load_frames(spark, sf_dir).select("seq_id").distinct()
+    i = F.col("seq_id")
+    spans = F.array(F.struct((i % 20).alias("start"), (i % 20 + i % 5).alias("end")), F.when(i % 2 == 0, F.struct(F.lit(30).cast("bigint").alias("start"), F.lit(30).cast("bigint").alias("end"))), F.struct(F.lit(5000).cast("bigint").alias("start"), F.lit(6000).cast("bigint").alias("end")))
+    return seqs.select("seq_id", F.inline(F.array_compact(spans)))
 
 
-@query("SELECT seq_id, frame_idx, frame_idx BETWEEN 10 AND 14 OR frame_idx = 30 AS discarded FROM f")
+@query(f"SELECT seq_id, frame_idx, {D.RANGES} AS discarded FROM f")
 def discarded_ranges(spark, sf_dir):
-    return policy.discard_ranges(load_frames(spark, sf_dir), spark.createDataFrame(_RANGES, "start long, end long")).select("seq_id", "frame_idx", "discarded")
+    return policy.discard_ranges(load_frames(spark, sf_dir), ranges_of(spark, sf_dir)).select("seq_id", "frame_idx", "discarded")
 
 
 @query(
-    f"""{_DECIDED}, g AS (SELECT *, keep AS auto_keep, frame_idx BETWEEN 10 AND 14 OR frame_idx = 30 AS discarded FROM d),
-b AS (SELECT *, frame_idx IN (4, 16, 41) AND NOT auto_keep AND content = 1 AND centering <> 2 AND NOT discarded AS back FROM g)
-SELECT seq_id, frame_idx, CASE WHEN frame_idx IN (3, 12) THEN false WHEN back THEN true ELSE auto_keep AND NOT discarded END AS mask,
- CASE WHEN frame_idx IN (3, 12) OR back THEN 'manual' WHEN discarded THEN 'profile' ELSE 'auto' END AS origin FROM b"""
+    f""", r AS (SELECT seq_id, seq_id % 20 AS start, seq_id % 20 + seq_id % 5 AS stop, count(*) AS n FROM f GROUP BY seq_id UNION ALL SELECT seq_id, 30, 30, count(*) FROM f WHERE seq_id % 2 = 0 GROUP BY seq_id)
+SELECT seq_id, start, CASE WHEN start = least(stop, n - 1) THEN printf('frame descartado por perfil: src %d', start) ELSE printf('rango descartado por perfil: src %d-%d', start, least(stop, n - 1)) END AS message FROM r WHERE start < n"""
 )
+def discard_messages(spark, sf_dir):
+    lengths = load_frames(spark, sf_dir).groupBy("seq_id").agg(F.count(F.lit(1)).alias("frames"))
+    return policy.discard_messages(ranges_of(spark, sf_dir), lengths)
+
+
+def manual_of(d: DataFrame) -> DataFrame:
+    """Manual actions: some clipped and centred frames are kept, every eleventh other frame is dropped."""
+    keep = (F.col("content") == 1) & (F.col("centering") != 2) & ~F.col("discarded") & (F.col("frame_idx") % 2 == 0)
+    drop = ~keep & ((F.col("seq_id") + F.col("frame_idx")) % 11 == 0)
+    return d.select("seq_id", "frame_idx", F.when(keep, "keep").when(drop, "drop").alias("action")).filter("action is not null")
+
+
+def _selected(d: DataFrame) -> DataFrame:
+    return policy.selection(d, manual_of(d))
+
+
+_SELECT = f"""{_DECIDED}, g AS (SELECT *, keep AS auto_keep, {D.RANGES} AS discarded FROM d),
+b AS (SELECT *, content = 1 AND centering <> 2 AND NOT discarded AND frame_idx % 2 = 0 AS back, (seq_id + frame_idx) % 11 = 0 AS out_ FROM g),
+s AS (SELECT seq_id, frame_idx, CASE WHEN back THEN true WHEN out_ THEN false ELSE auto_keep AND NOT discarded END AS mask,
+ CASE WHEN out_ OR back THEN 'manual' WHEN discarded THEN 'profile' ELSE 'auto' END AS origin,
+ CASE WHEN back THEN '{SELECTION_REASONS["keep"]}' WHEN out_ THEN '{SELECTION_REASONS["drop"]}' WHEN discarded THEN '{SELECTION_REASONS["profile"]}' ELSE '' END AS selection_reason FROM b)"""
+
+
+def _selection(spark, sf_dir) -> DataFrame:
+    return _selected(policy.discard_ranges(decided(spark, sf_dir).withColumnRenamed("keep", "auto_keep"), ranges_of(spark, sf_dir)))
+
+
+@query(f"{_SELECT} SELECT * FROM s")
 def effective_selection(spark, sf_dir):
-    f = policy.discard_ranges(decided(spark, sf_dir).withColumnRenamed("keep", "auto_keep"), spark.createDataFrame(_RANGES, "start long, end long"))
-    return policy.selection(f, [3, 12], [4, 16, 41]).select("seq_id", "frame_idx", "mask", "origin")
+    return _selection(spark, sf_dir).select("seq_id", "frame_idx", "mask", "origin", "selection_reason")
+
+
+@query(f"{_SELECT} SELECT seq_id, count(*) FILTER (WHERE origin = 'manual' AND NOT mask) AS dropped, count(*) FILTER (WHERE origin = 'manual' AND mask) AS recovered FROM s GROUP BY seq_id")
+def manual_selection(spark, sf_dir):
+    return policy.manual_counts(_selection(spark, sf_dir))
 
 
 @query("SELECT seq_id, frame_idx, round(CASE WHEN response >= 0.55 THEN rel_x ELSE 0 END, 6) AS x, round(least(1, greatest(0, k * 4 / 150.0::double)) * exp(-(k / 40.0::double) / 0.96::double) * (0.7::double + 0.3::double * least(1, k / 100.0::double)), 6) AS q FROM f")
@@ -362,25 +426,59 @@ def weighted_path(spark, sf_dir):
     return solve.weighted_path(weighted(spark, sf_dir)).select("seq_id", "frame_idx", F.round("path_x", 6).alias("path_x"))
 
 
-_PROBES = [
-    '{"streams":[{"width":720,"height":1280,"avg_frame_rate":"30/1","r_frame_rate":"30/1","nb_frames":"2400","duration":"80.0"}],"format":{"duration":"80.0"}}',
-    '{"streams":[{"width":720,"height":1280,"avg_frame_rate":"0/0","r_frame_rate":"25/1","nb_frames":"N/A"}],"format":{"duration":"10.1"}}',
-    '{"streams":[{"width":720,"height":1280,"avg_frame_rate":"0/0","r_frame_rate":"0/0","nb_frames":"300","duration":"10"}],"format":{}}',
-    '{"streams":[{"width":0,"height":1280,"avg_frame_rate":"30/1","nb_frames":"300"}],"format":{"duration":"10"}}',
-    '{"streams":[],"format":{}}',
-]
+#: Fields of probe documents by the sequence's number: as text, and what the text is worth.
+_PROBED = {
+    "width": (8, ["720", "1280", '"640"', "270", "0", '"N/A"', '"x1"', "null"], ["720", "1280", "640", "270", "NULL", "NULL", "NULL", "NULL"]),
+    "nb_frames": (7, ['"N/A"', '"300"', '"0"', '"abc"', "null", '"-5"', "2400"], ["NULL", "300", "-1", "-1", "NULL", "-1", "2400"]),
+    "avg_frame_rate": (5, ['"30/1"', '"0/0"', '"30"', '"24000/1001"', '"N/A"'], ["30", "NULL", "NULL", "24000 / 1001.0::double", "NULL"]),
+    "r_frame_rate": (4, ['"25/1"', '"0/0"', "null", '"50/2"'], ["25", "NULL", "NULL", "25"]),
+    "duration": (3, ['"8.0"', "null", '"x"'], ["8", "NULL", "NULL"]),
+    "whole": (11, ['"10.0"', '"N/A"', "null", '"-1"', '"12.5"', '"nan"', '"inf"', '"1e1"', '""', '"10.0"', "7.25"], ["10", "NULL", "NULL", "NULL", "12.5", "NULL", "NULL", "10", "NULL", "10", "7.25"]),
+}
+
 
+def _worth(name: str) -> str:
+    n, _, values = _PROBED[name]
+    return f"CASE seq_id % {n} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + f" END AS {name}"
 
-@query("SELECT * FROM (VALUES (0, 720, 30.0::double, 80.0::double, 2400, false), (1, 720, 25.0::double, 10.1::double, 252, true), (2, 720, 30.0::double, 10.0::double, 300, false), (3, NULL, NULL, NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL, NULL)) t(id, width, fps, duration, frames, estimated)")
+
+@query(
+    f""", pr AS (SELECT DISTINCT seq_id, {", ".join(map(_worth, _PROBED))}, seq_id % 13 AS odd FROM f),
+pe AS (SELECT seq_id, odd, width, CASE WHEN nb_frames > 0 THEN nb_frames END AS counted, coalesce(nb_frames = -1, false) AS bad, CAST(coalesce(avg_frame_rate, r_frame_rate) AS DOUBLE) AS listed, CAST(coalesce(whole, duration) AS DOUBLE) AS timed FROM pr),
+pf AS (SELECT *, coalesce(listed, counted / timed) AS fps, coalesce(timed, counted / listed) AS duration FROM pe),
+pg AS (SELECT *, CASE WHEN odd = 0 THEN 'json' WHEN odd = 1 THEN 'stream' WHEN width IS NULL THEN 'width' WHEN bad THEN 'frames' WHEN fps IS NULL THEN 'fps' WHEN duration IS NULL THEN 'duration' END AS error FROM pf)
+SELECT seq_id, CASE WHEN error IS NULL THEN CAST(width AS BIGINT) END AS width, CASE WHEN error IS NULL THEN round(fps, 6) END AS fps, CASE WHEN error IS NULL THEN round(duration, 6) END AS duration,
+ CASE WHEN error IS NULL THEN coalesce(counted, CAST(round_even(duration * fps, 0) AS BIGINT)) END AS frames, CASE WHEN error IS NULL THEN counted IS NULL END AS estimated, error FROM pg"""
+)
 def probe_metadata(spark, sf_dir):
-    raw = spark.createDataFrame(list(enumerate(_PROBES)), "id int, raw string")
-    return raw.select("id", parse.probe(F.col("raw")).alias("p")).select("id", "p.width", "p.fps", "p.duration", "p.frames", "p.estimated")
+    i = F.col("seq_id")
+
+    def text(name):
+        n, texts, _ = _PROBED[name]
+        return F.element_at(F.array(*map(F.lit, texts)), (i % n + 1).cast("int"))
+
+    fields = [F.concat(F.lit(f'"{name}":'), text(name)) for name in _PROBED if name != "whole"]
+    stream = F.concat(F.lit('{"height":1280,'), F.concat_ws(",", *fields), F.lit("}"))
+    raw = F.concat(F.lit('{"streams":['), F.when(i % 13 == 1, "").otherwise(stream), F.lit('],"format":{"duration":'), text("whole"), F.lit("}"), F.when(i % 13 == 0, "").otherwise("}"))
+    p = load_frames(spark, sf_dir).select("seq_id").distinct().select("seq_id", parse.probe(raw).alias("p"))
+    return p.select("seq_id", "p.width", F.round("p.fps", 6).alias("fps"), F.round("p.duration", 6).alias("duration"), "p.frames", "p.estimated", "p.error")
 
 
-@query("SELECT * FROM (VALUES (0, 3, 7, 11), (1, NULL, NULL, NULL)) t(id, variable, constant, frames)")
+@query(
+    """, s AS (SELECT DISTINCT seq_id, seq_id % 4 AS v FROM f) SELECT seq_id, CASE WHEN v = 2 OR seq_id = 0 THEN 3 WHEN v = 0 THEN 0 WHEN v = 1 THEN seq_id END AS irregular, CASE WHEN v = 2 OR seq_id = 0 THEN 10 WHEN v = 0 THEN seq_id WHEN v = 1 THEN 2 * seq_id + 9 END AS transitions,
+ CASE WHEN v = 2 OR seq_id = 0 THEN 11 ELSE CASE v WHEN 0 THEN seq_id + 1 WHEN 1 THEN 2 * seq_id + 10 END END AS frames FROM s"""
+)
 def rate_log(spark, sf_dir):
-    raw = spark.createDataFrame([(0, "x VFR:0.1 (1/9) y\nVFR:0.3 (3/7)\nVFR:0.0 (0/0)"), (1, "none")], "id int, raw string")
-    return raw.select("id", parse.rate_log(F.col("raw")).alias("p")).select("id", "p.variable", "p.constant", "p.frames")
+    """Numbers with exponents, infinite and missing ones, no transitions, no measurement at all."""
+    i = F.col("seq_id").cast("string")
+    texts = [
+        F.concat(F.lit("VFR:0.3 (3/7)\nVFR:0.000000 (0/"), i, F.lit(")")),
+        F.concat(F.lit("x VFR:0.1 (1/9) y\nVFR:1e-05 ("), i, F.lit("/"), (F.col("seq_id") + 9).cast("string"), F.lit(") min: 1 max: 2\nVFR:0.0 (0/0)")),
+        F.lit("VFR:0.3 (3/7)\nVFR:inf (9/9)\nVFR:nan (8/8)\nVFR:--1 (7/7)"),
+        F.lit("no measurement VFR: 0.1 (1/2)"),
+    ]
+    raw = load_frames(spark, sf_dir).select("seq_id").distinct().withColumn("raw", F.element_at(F.array(*texts), (F.col("seq_id") % 4 + 1).cast("int")))
+    return raw.select("seq_id", parse.rate_log(F.col("raw")).alias("p")).select("seq_id", "p.irregular", "p.transitions", "p.frames")
 
 
 @query("SELECT unnest([20, 21, 22, 23, 24, 700, 900]) AS frame_idx")
@@ -399,25 +497,17 @@ def scaled_height(spark, sf_dir):
     return load_frames(spark, sf_dir).select("seq_id").distinct().select("seq_id", parse.scaled_height(F.lit(700) + F.col("seq_id") % 50, F.lit(1280), 270).alias("height"))
 
 
-@query("SELECT seq_id, 'clip-' || CAST(seq_id AS VARCHAR) || '-' || substr(sha256('/in/Clip ' || CAST(seq_id AS VARCHAR) || '.mp4'), 1, 8) AS name FROM f GROUP BY seq_id")
+@query(
+    """, s AS (SELECT DISTINCT seq_id, CASE seq_id % 4 WHEN 0 THEN '/in/My.Clip ' || seq_id || '.mp4' WHEN 1 THEN '/a b/ñandú__x' || seq_id || '.tar.gz' WHEN 2 THEN '/' || seq_id || '/-.mov' ELSE '/v/Raw_' || seq_id END AS path FROM f)
+SELECT seq_id, CASE seq_id % 4 WHEN 0 THEN 'My.Clip_' || seq_id WHEN 1 THEN 'and___x' || seq_id || '.tar' WHEN 2 THEN 'video' ELSE 'Raw_' || seq_id END || '_' || substr(sha256(path), 1, 8) || '_output' AS name FROM s"""
+)
 def output_names(spark, sf_dir):
-    path = F.concat(F.lit("/in/Clip "), F.col("seq_id").cast("string"), F.lit(".mp4"))
+    i, t = F.col("seq_id"), F.col("seq_id").cast("string")
+    paths = [F.concat(F.lit("/in/My.Clip "), t, F.lit(".mp4")), F.concat(F.lit("/a b/ñandú__x"), t, F.lit(".tar.gz")), F.concat(F.lit("/"), t, F.lit("/-.mov")), F.concat(F.lit("/v/Raw_"), t)]
+    path = F.element_at(F.array(*paths), (i % 4 + 1).cast("int"))
     return load_frames(spark, sf_dir).select("seq_id").distinct().select("seq_id", parse.output_name(path).alias("name"))
 
 
-@query("SELECT 'contrast_version' AS name, '5' AS expected, '4' AS stored, 'refreshable' AS state")
-def cache_check(spark, sf_dir):
-    rows_ = [("video", "a.mp4"), ("width", "270"), ("contrast_version", "5")]
-    expected, stored = spark.createDataFrame(rows_, "name string, value string"), spark.createDataFrame([*rows_[:2], ("contrast_version", "4")], "name string, value string")
-    wrong = identity.mismatches(expected, stored)
-    missing = spark.createDataFrame([], "name string")
-    return wrong.join(F.broadcast(identity.cache_state(wrong, missing)))
-
-
-def bit_names() -> list[str]:
-    return list(EDGE_BITS)
-
-
 #: Anchors with a limb, their offsets from summed motion, and a narrow gate that the view's jitter passes.
 _ANCHORS = f""", o AS (SELECT *, evaluable AS known, evaluable AND k >= 50 AS limb, 0.1::double AS gate,
  raw_x - sum(rel_x) OVER {rows("UNBOUNDED PRECEDING", "CURRENT ROW")} AS off_x, raw_y - sum(rel_y) OVER {rows("UNBOUNDED PRECEDING", "CURRENT ROW")} AS off_y,
@@ -482,16 +572,20 @@ def coherent_evidence(spark, sf_dir):
     return regime.coherent(regime.loss(measured(spark, sf_dir), P), "evidence", 1.5, P.scale).select("seq_id", "frame_idx", "coherent")
 
 
-@query()
+@query(f", {D.REGIMES} SELECT seq_id, frame_idx, regime, horizon_start, contrast_start, false_circle, led_by, core, signs, regime_reason FROM re")
 def regimes(spark, sf_dir):
     """Short spans, as the sequences of the events are short."""
-    return regime.classify(measured(spark, sf_dir), P, regime.Horizon(2, 2, 9), 1.5).select("seq_id", "frame_idx", "regime", "horizon_start", "false_circle", "led_by", "core", "signs")
+    return regime.classify(measured(spark, sf_dir), P, regime.Horizon(2, 2, 9), 1.5).select("seq_id", "frame_idx", "regime", "horizon_start", "contrast_start", "false_circle", "led_by", "core", "signs", "regime_reason")
+
+
+_R6 = ", ".join(f"round({c}, 6) AS {c}" for c in ("path_x", "path_y", "center_x", "center_y", "correction"))
 
 
-@query()
+@query(f""", an AS (SELECT *, raw_x AS x, raw_y AS y, evaluable AND k >= 50 AS limb, evaluable AS contrast, quality AS score FROM f), {D.path("an")}
+SELECT seq_id, frame_idx, {_R6}, spike, excursion, jump, jitter_candidate, excursion_candidate, repaired, reason FROM rp""")
 def robust_path(spark, sf_dir):
     f = load_frames(spark, sf_dir).withColumn("limb", F.col("evaluable") & (F.col("k") >= 50)).withColumn("contrast", F.col("evaluable")).withColumn("score", F.col("quality"))
-    return robust.robust_path(f, P.scale).select("seq_id", "frame_idx", *r6("path_x", "path_y", "center_x", "center_y", "correction"), "spike", "excursion", "jump", "reason")
+    return robust.robust_path(f, P.scale).select("seq_id", "frame_idx", *r6("path_x", "path_y", "center_x", "center_y", "correction"), "spike", "excursion", "jump", "jitter_candidate", "excursion_candidate", "repaired", "reason")
 
 
 SIZE = (270.0, 360.0)
@@ -521,50 +615,87 @@ def geometry_track(spark, sf_dir):
     return track.geometry_track(detected(spark, sf_dir), P, SIZE).select("seq_id", "frame_idx", *r6("told_x", "told_y", "place_x", "place_y"), "place_source")
 
 
-def contrasted(spark, sf_dir, marked: DataFrame | None = None) -> DataFrame:
+def contrasted(spark, sf_dir, marked: DataFrame | None = None, p: Params = P, size: tuple = SIZE) -> DataFrame:
     """Frames with their regime, trusted geometry and the contrast track anchored to it."""
     f = (measured(spark, sf_dir) if marked is None else marked).withColumn("spot_x", 100 + F.col("frame_idx") * 0.2).withColumn("spot_y", 170 + F.col("frame_idx") * 0.1).withColumn("spot_score", F.col("quality") / 2)
-    f = decide.trusted_geometry(regime.classify(f, P, regime.Horizon(2, 2, 9), 1.5), P.scale).withColumn("place_x", F.col("raw_x")).withColumn("place_y", F.col("raw_y"))
-    return track.contrast_track(f, P, SIZE)
+    f = decide.trusted_geometry(regime.classify(f, p, regime.Horizon(2, 2, 9), 1.5), p.scale).withColumn("place_x", F.col("raw_x")).withColumn("place_y", F.col("raw_y"))
+    return track.contrast_track(f, p, size)
 
 
-@query()
+@query(f", {D.TRUSTED} SELECT seq_id, frame_idx, trusted, rejected FROM tg")
 def trusted_geometry(spark, sf_dir):
     f = decide.trusted_geometry(regime.classify(measured(spark, sf_dir), P, regime.Horizon(2, 2, 9), 1.5), P.scale)
     return f.select("seq_id", "frame_idx", "trusted", "rejected")
 
 
-@query()
+_TRACKED = ("contrast_x", "contrast_y", "contrast_score", "offset_x", "offset_y", "sample_x", "sample_y", "fallback_innovation")
+
+
+@query(f", {D.CONTRAST} SELECT seq_id, frame_idx, {', '.join(f'round({c}, 6) AS {c}' for c in _TRACKED)}, reanchored, supported, fallback_mode FROM co")
 def contrast_track(spark, sf_dir):
-    return contrasted(spark, sf_dir).select("seq_id", "frame_idx", *r6("contrast_x", "contrast_y", "contrast_score", "offset_x", "offset_y", "fallback_innovation"), "reanchored", "supported", "fallback_mode")
+    return contrasted(spark, sf_dir).select("seq_id", "frame_idx", *r6(*_TRACKED), "reanchored", "supported", "fallback_mode")
 
 
 def decisions_of(spark, sf_dir) -> DataFrame:
-    marked = policy.discard_ranges(measured(spark, sf_dir), spark.createDataFrame(_RANGES, "start long, end long"))
+    marked = policy.discard_ranges(measured(spark, sf_dir), ranges_of(spark, sf_dir))
     return decide.decide(contrasted(spark, sf_dir, marked), P, SIZE)
 
 
-@query()
-def decisions(spark, sf_dir):
-    return decisions_of(spark, sf_dir).select("seq_id", "frame_idx", "regime", "trusted", "backup", *r6("center_x", "center_y", "margin"), "tear_verdict", "content", "content_reason", "centering", "corrupt", "contradicted", "discarded", "keep")
+_DECISIONS = (
+    "regime", "trusted", "backup", "anchor_used", "horizon_visible", "horizon_present", "tear_verdict", "content", "content_reason", "centering", "centering_reason", "corrupt", "corruption_signals",
+    "cut", "contradicted", "discarded", "keep",
+)
 
 
-@query()
+@query(f", {D.DECIDED} SELECT seq_id, frame_idx, {', '.join(c for c in _DECISIONS if c != 'cut')}, margin < -0.75 AS cut, round(center_x, 6) AS center_x, round(center_y, 6) AS center_y, round(margin, 6) AS margin FROM de")
+def decisions(spark, sf_dir):
+    return decisions_of(spark, sf_dir).select("seq_id", "frame_idx", *_DECISIONS, *r6("center_x", "center_y", "margin"))
+
+
+#: The files' columns in the SQL of the decisions; columns that the frames lack have the files' defaults.
+_FILE_SQL = {
+    "frame": "frame_idx", "raw_cx": "raw_x", "raw_cy": "raw_y", "solved_cx": "center_x", "solved_cy": "center_y", "final_cx": "center_x", "final_cy": "center_y", "pre_repair_cx": "path_x", "pre_repair_cy": "path_y",
+    "raw_solved_cx": "path_x", "raw_solved_cy": "path_y", "repaired_cx": "center_x", "repaired_cy": "center_y", "correction_magnitude": "correction", "absolute_innovation": "off_path", "local_innovation": "local_",
+    "cumulative_innovation": "closure", "jitter_candidate": "jitter_candidate", "excursion_candidate": "excursion_candidate", "jump_confirmed": "jump", "corruption_candidate": "corrupt", "corruption_signal_count": "corruption_signals",
+    "auto_repaired": "repaired", "repair_reason": "reason", "quality": "quality", "coverage_deg": "coverage", "median_residual": "residual", "touch": "touch", "trusted": "anchor_used", "rejected": "rejected", "phase_dx": "rel_x",
+    "phase_dy": "rel_y", "phase_response": "response", "radial_points": "points", "strong_loss": "strong", "signal_count": "signals", "margin": "margin", "cut_geometry": "margin < -0.75", "keep": "keep", "horizon_tracked": "backup",
+    "regime": "CASE regime WHEN 0 THEN 'limbo' WHEN 1 THEN 'respaldo_transitorio' ELSE 'horizonte_confirmado' END", "regime_reason": "regime_reason", "false_circle_after_horizon": "false_circle", "contrast_cx": "contrast_x",
+    "contrast_cy": "contrast_y", "contrast_score": "contrast_score", "timed_discarded": "discarded", "clipped": "clipped", "border_clipped": "clip_edges <> 0", "tear_candidate": "candidate", "tear_evaluable": "evaluable",
+    "tear_detected": "tear", "tear_run_length": "run_length2", "tear_veto_reason": "tear_verdict", "tear_exposed_fraction": "exposed", "tear_baseline_fraction": "baseline", "tear_drop_fraction": "drop_", "tear_temporal_noise": "noise",
+    "content_state": "CASE content WHEN 0 THEN 'usable' WHEN 1 THEN 'clipped' ELSE 'uncertain' END", "content_reason": "content_reason", "centering_state": "CASE centering WHEN 0 THEN 'reliable' WHEN 1 THEN 'reconstructed' ELSE 'unresolved' END",
+    "centering_reason": "centering_reason", "contradicted_reconstruction": "contradicted", "geometry_source": "'radial'", "contrast_dyn_offset_cx": "offset_x", "contrast_dyn_offset_cy": "offset_y", "contrast_offset_sample_cx": "sample_x",
+    "contrast_offset_sample_cy": "sample_y", "fallback_reanchored": "reanchored", "fallback_supported": "supported", "fallback_innovation": "fallback_innovation", "fallback_mode": "fallback_mode", "anchor_weight": "weight",
+    "robust_anchor_weight": "mended_weight", "rel_weight": "stiffness", "robust_rel_weight": "mended_stiffness", "keep_auto": "keep", "keep_effective": "mask", "decision": "origin", "decision_reason": "selection_reason",
+}
+
+
+def _file_sql(names: list[str]) -> str:
+    out = []
+    for n in names:
+        text = n in sinks.NAMED or n.endswith("reason") or n == "decision"
+        made = _FILE_SQL.get(n)
+        if made is None:
+            made = "''" if text else "0" if n in sinks.FLAGS else "0.0::double" if n in sinks.ZERO else "NULL::double"
+        elif n in sinks.FLAGS:
+            made = f"CAST({made} AS INTEGER)"
+        elif not text and n != "frame":
+            made = f"round(CAST(coalesce({made}, 0) AS DOUBLE), 6)" if n in sinks.ZERO else f"round(CAST({made} AS DOUBLE), 6)"
+        out.append(f"{made} AS {n}")
+    return "SELECT seq_id, " + ", ".join(out)
+
+
+def _rounded(table: DataFrame) -> DataFrame:
+    return table.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in table.schema])
+
+
+@query(f", {D.SELECTED} {_file_sql(sinks.DEBUG)} FROM se")
 def debug_csv(spark, sf_dir):
-    return sinks.debug_table(policy.selection(decisions_of(spark, sf_dir), [3, 12], [4, 16, 41]))
-
+    return _rounded(sinks.debug_table(_selected(decisions_of(spark, sf_dir))))
 
-def _tracking_sql() -> str:
-    known = {"frame": "frame_idx", "raw_cx": "round(raw_x, 6)", "raw_cy": "round(raw_y, 6)", "quality": "round(quality, 6)", "phase_dx": "rel_x", "phase_dy": "rel_y", "phase_response": "round(response, 6)", "keep": "CAST(keep AS INTEGER)",
-             "tear_candidate": "CAST(candidate AS INTEGER)", "tear_evaluable": "CAST(evaluable AS INTEGER)", "tear_detected": "CAST(tear AS INTEGER)", "tear_exposed_fraction": "round(exposed, 6)", "tear_baseline_fraction": "round(baseline, 6)",
-             "tear_drop_fraction": "round(baseline - exposed, 6)", "content_state": "CASE content WHEN 0 THEN 'usable' WHEN 1 THEN 'clipped' ELSE 'uncertain' END", "centering_state": "CASE centering WHEN 0 THEN 'reliable' WHEN 1 THEN 'reconstructed' ELSE 'unresolved' END"}
-    rest = {**{n: "0.0::double" for n in sinks.ZERO}, **{n: "0" for n in sinks.FLAGS}, **{n: "'unknown'" for n in sinks.NAMED}, **{n: "''" for n in sinks.TRACKING if n.endswith("reason")}}
-    return f"{_DECIDED} SELECT seq_id, " + ", ".join(f"{known.get(n) or rest.get(n, 'NULL::double')} AS {n}" for n in sinks.TRACKING) + " FROM d"
 
-
-@query(_tracking_sql())
+@query(f", {D.DECIDED} {_file_sql(sinks.TRACKING)} FROM de")
 def tracking_csv(spark, sf_dir):
-    return sinks.tracking_table(decided(spark, sf_dir).drop("noise", "run_length").withColumns({c: F.round(c, 6) for c in ("raw_x", "raw_y", "quality", "response", "exposed", "baseline", "drop")}))
+    return _rounded(sinks.tracking_table(decisions_of(spark, sf_dir)))
 
 
 @query(", n AS (SELECT seq_id, count(*) AS n FROM f GROUP BY seq_id) SELECT n.seq_id, CAST(floor(i * (n - 1) / 15) AS BIGINT) AS frame, round(raw_x, 6) AS cx, round(raw_y, 6) AS cy, round(quality, 6) AS quality, NULL::double AS coverage_deg, NULL::double AS median_residual, NULL::double AS threshold, 0 AS touch FROM (SELECT DISTINCT n.seq_id, CAST(floor(i * (n - 1) / 15) AS BIGINT) AS i FROM n, range(16) AS t(i)) AS n JOIN f ON f.seq_id = n.seq_id AND f.frame_idx = n.i".replace("CAST(floor(i * (n - 1) / 15) AS BIGINT) AS frame, round", "f.frame_idx AS frame, round"))
@@ -573,17 +704,16 @@ def detections_csv(spark, sf_dir):
 
 
 @query(
-    """, r AS (SELECT seq_id, frame_idx, k, row_number() OVER (PARTITION BY seq_id ORDER BY k DESC, frame_idx) AS rank FROM f WHERE k IS NOT NULL),
-m AS (SELECT seq_id, count(*) AS validated, max(k) AS maximum, count(*) FILTER (WHERE k > 90) AS over FROM f GROUP BY seq_id)
-SELECT m.seq_id, CAST(to_json({'validated': any_value(validated), 'maximum': any_value(maximum), 'over': any_value(over), 'worst': list({'frame_idx': frame_idx, 'k': k} ORDER BY rank)}) AS VARCHAR) AS report
-FROM m JOIN r USING (seq_id) WHERE rank <= 3 GROUP BY m.seq_id"""
+    f"""{_JITTER}, w AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY residual DESC, output_frame) AS rank FROM rs),
+wl AS (SELECT seq_id, string_agg(printf('{{"output_frame":%d,"source_frame":%d,"residual_px":%.4f}}', output_frame, source_frame, residual), ',' ORDER BY rank) AS worst FROM w WHERE rank <= 10 GROUP BY seq_id)
+SELECT seq_id, validated, median, p95, maximum, jitter_p95, jitter_maximum, jitter_over_1px, worst FROM j JOIN wl USING (seq_id)"""
 )
 def validation_report(spark, sf_dir):
-    f = load_frames(spark, sf_dir)
-    order = F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("k"), "frame_idx"))
-    worst = f.filter("k is not null").select("seq_id", order.alias("rank"), "frame_idx", "k").filter("rank <= 3")
-    metrics = f.groupBy("seq_id").agg(F.count(F.lit(1)).alias("validated"), F.max("k").alias("maximum"), F.count_if(F.col("k") > 90).alias("over"))
-    return sinks.validation(metrics, worst)
+    """The report's JSON, read again; worst rows as text with four digits, as JSON has no fixed form of numbers."""
+    found = sinks.validation(_metrics(spark, sf_dir), summary.worst_residuals(_residuals(spark, sf_dir)))
+    made = F.from_json("report", "struct<validated:bigint,median:double,p95:double,maximum:double,jitter_p95:double,jitter_maximum:double,jitter_over_1px:bigint,worst:array<struct<output_frame:bigint,source_frame:bigint,residual_px:double>>>")
+    line = F.transform("r.worst", lambda x: F.format_string('{"output_frame":%d,"source_frame":%d,"residual_px":%.4f}', x["output_frame"], x["source_frame"], x["residual_px"]))
+    return found.select("seq_id", made.alias("r")).select("seq_id", *[f"r.{c}" for c in ("validated", "median", "p95", "maximum", "jitter_p95", "jitter_maximum", "jitter_over_1px")], F.array_join(line, ",").alias("worst"))
 
 
 @query(""", n AS (SELECT seq_id, count(*) AS found FROM f GROUP BY seq_id) SELECT seq_id, found + 1 AS declared, found FROM n WHERE seq_id % 3 = 0""")

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import parse
-from framewright.operators import policy, seqops, summary
-from framewright.plans import queries, solve
+from framewright.operators import limb, policy, seqops, summary
+from framewright.plans import limb_queries, queries, solve
 
 
 def norm(v):
@@ -24,7 +24,8 @@ def test_same_as_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    for name_ in ("events", "supplier"):
+        con.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{sf_dir}/{name_}.parquet'")
     got = queries.QUERIES[name](spark, sf_dir)
     rows = sorted(tuple(map(norm, r)) for r in got.collect())
     want = con.sql(queries.SQL[name])
@@ -104,9 +105,19 @@ def test_frames_are_written_or_discarded(spark, sf_dir):
 
 
 def test_priority_sample_is_bounded_and_takes_clipped_first(spark, sf_dir):
-    d = queries.decided(spark, sf_dir)
-    got = summary.priority_sample(d, 6).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("frame_idx").alias("u")).collect()
-    assert got and all(r.n <= 6 and r.n == r.u for r in got)
+    d = queries.decided(spark, sf_dir).withColumn("clipped", F.col("tear")).withColumn("problem", F.col("k") % 10 == 3)
+    rows = summary.priority_sample(d, 6).collect()
+    by_seq = {s: [r for r in rows if r.seq_id == s] for s in {r.seq_id for r in rows}}
+    assert by_seq and all(len(x) == len({r.frame_idx for r in x}) <= 6 for x in by_seq.values())
+    tears = {s: {r.frame_idx for r in d.filter("tear").collect() if r.seq_id == s} for s in by_seq}
+    assert all(len(tears[s] & {r.frame_idx for r in x}) == min(6, len(tears[s])) for s, x in by_seq.items())
+
+
+@pytest.mark.parametrize(("n", "most"), [(30, 7), (30, 1), (30, 29), (5, 5), (9, 2)])
+def test_a_sample_of_usable_frames_is_evenly_spaced(spark, n, most):
+    df = seq(spark, content=[0] * n, clipped=[False] * n, problem=[False] * n)
+    got = sorted(r.frame_idx for r in summary.priority_sample(df, most).collect())
+    assert got == sorted({int(x) for x in np.linspace(0, n - 1, min(most, n), dtype=int)})
 
 
 @pytest.mark.parametrize("bad", ["abc", "1-", "-3", "3-2", "1-5-9", "6000", "1,,2"])
@@ -115,12 +126,73 @@ def test_bad_frame_lists_raise(spark, bad):
         parse.frame_list(spark.createDataFrame([(bad,)], "s string"), "s", 2400).collect()
 
 
-def test_drop_and_keep_lists_must_not_overlap(spark, sf_dir):
-    with pytest.raises(ValueError, match="both"):
-        policy.selection(queries.decided(spark, sf_dir), [1, 2], [2])
+def selected(spark, acts, **columns):
+    n = 5
+    base = {"content": [1, 0, 1, 2, 1], "centering": [0, 0, 2, 1, 0], "auto_keep": [False, True, False, True, False], "discarded": [False, False, False, False, True]} | columns
+    manual = spark.createDataFrame([(1, *a) for a in acts], "seq_id long, frame_idx long, action string")
+    return {r.frame_idx: (r.mask, r.origin) for r in policy.selection(seq(spark, **{k: v[:n] for k, v in base.items()}), manual).collect()}
+
+
+def test_manual_selection(spark):
+    assert selected(spark, [(0, "keep"), (1, "drop"), (2, "drop")]) == {0: (True, "manual"), 1: (False, "manual"), 2: (False, "manual"), 3: (True, "auto"), 4: (False, "profile")}
+    for frame, action, why in ((1, "keep", "not clipped"), (2, "keep", "without a centre"), (4, "keep", "discarded")):
+        with pytest.raises(Exception, match=why):
+            selected(spark, [(frame, action)])
+    with pytest.raises(Exception, match="both"):
+        selected(spark, [(0, "keep"), (0, "drop")])
+
+
+def test_ranges_hold_for_their_sequences(spark):
+    df = seq(spark, x=[0] * 6).unionByName(seq(spark, x=[0] * 6).withColumn("seq_id", F.lit(2).cast("long")))
+    ranges = spark.createDataFrame([(1, 2, 3), (1, 3, 9), (3, 0, 9)], "seq_id long, start long, end long")
+    assert [(r.seq_id, r.frame_idx) for r in policy.discard_ranges(df, ranges).filter("discarded").orderBy("seq_id", "frame_idx").collect()] == [(1, 2), (1, 3), (1, 4), (1, 5)]
+    assert policy.discard_ranges(df, [(4, 4)]).filter("discarded").count() == 2
+
+
+@pytest.mark.parametrize(("raw", "error"), [
+    ("nonsense", "json"), ("[1]", "stream"), ('{"streams":[]}', "stream"), ('{"streams":[{"width":0,"height":2}]}', "width"), ('{"streams":[{"width":"720.5","height":2}]}', "width"), ('{"streams":[{"width":2}]}', "height"),
+    ('{"streams":[{"width":2,"height":2,"nb_frames":"0","avg_frame_rate":"30/1","duration":"1"}]}', "frames"), ('{"streams":[{"width":2,"height":2,"nb_frames":"9","avg_frame_rate":"30"}]}', "fps"),
+    ('{"streams":[{"width":2,"height":2,"avg_frame_rate":"30/1"}],"format":{"duration":"N/A"}}', "duration"),
+])
+def test_bad_probes_say_what_is_wrong(spark, raw, error):
+    found = spark.createDataFrame([(raw,)], "raw string").select(parse.probe(F.col("raw")).alias("p")).first().p
+    assert found.error == error and found.width is None and found.frames is None
+
+
+def test_options():
+    parse.check_options()
+    for bad in ({"analysis_width": 159}, {"radius": 0.0}, {"debug_width": 63}, {"max_images": -1}):
+        with pytest.raises(ValueError, match="at least|positive|negative"):
+            parse.check_options(**bad)
+    assert parse.inspect_frames(0, -1, 4, 10) == [0, 3, 6, 9] and parse.inspect_frames(-3, 99, 1, 10) == [0] and parse.inspect_frames(2, 3, 9, 10) == [2, 3]
+    with pytest.raises(ValueError, match="before"):
+        parse.inspect_frames(5, 3, 4, 10)
+
+
+def test_counts_that_cannot_be_verified_raise(spark):
+    info = spark.createDataFrame([(1, 25.0, 1.0, 25, False)], "seq_id long, fps double, duration double, frames long, exact boolean")
+    with pytest.raises(Exception, match="no count"):
+        parse.exact_counts(info, spark.createDataFrame([(1, "VFR:x")], "seq_id long, log string")).collect()
+
+
+def test_radius_needs_circles(spark):
+    few = spark.createDataFrame([(1, 80.0, False, 40, 270)] * 3, "seq_id long, radius double, touch boolean, points int, width int")
+    assert limb.calibrate_radius(few).count() == 0
+    with pytest.raises(Exception, match="no radius"):
+        limb.resolve_radius(spark.createDataFrame([(1, None)], "seq_id long, radius double"), few).collect()
+
+
+def test_limbs_of_the_test_images(spark, sf_dir):
+    rows = limb_queries.limb_detections(spark, sf_dir).collect()
+    at = {(r.seq_id, r.frame_idx): (r.cx, r.cy, r.id) for r in limb_queries.pictures(spark, sf_dir).collect()}
+    assert len(rows) == len(at)
+    for r in rows:
+        cx, cy, i = at[r.seq_id, r.frame_idx]
+        if i % 3:
+            assert math.hypot(r.x - cx, r.y - cy) < 1.5
 
 
 def test_empty_frames(spark, sf_dir):
     none = queries.load_frames(spark, sf_dir).limit(0)
     assert seqops.isolated_tears(seqops.exposure_drops(none, 30.0), 30.0).count() == 0
-    assert policy.discard_ranges(none, spark.createDataFrame([(0, 3)], "start long, end long")).count() == 0
+    assert policy.discard_ranges(none, [(0, 3)]).count() == 0

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.operators import policy, track
-from framewright.params import Params
+from framewright.params import TEAR_REASONS, Params
 from framewright.plans import decide, queries
 from framewright.sources import sinks
 from framewright.streaming import track as stream
@@ -141,15 +141,15 @@ def decided(spark, n=120, tear=(), border=(), lost=()):
         gone = i in lost
         rows.append((1, i, None if gone else 100 + 0.1 * i, None if gone else 180.0, 0.1 if i else 0.0, 0.0, 0.5, 0 if gone else 1, False, 1 if i in border else 0, 5.0 if gone else 300.0, None if gone else 0.5, 5 if gone else 200, 0.0 if gone else 0.9, 200, None, None, 0.0, False, not gone, 0.6 if i in tear else 0.95))
     f = spark.createDataFrame(rows, "seq_id long, frame_idx long, raw_x double, raw_y double, rel_x double, rel_y double, response double, source int, touch boolean, clip_edges int, coverage double, residual double, points long, quality double, maximum int, contrast_x double, contrast_y double, contrast_score double, supported boolean, evaluable boolean, exposed double")
-    out = decide.decide(policy.discard_ranges(f, spark.createDataFrame([(100, 101)], "start long, end long")), P, SIZE)
+    out = decide.decide(policy.discard_ranges(f, [(100, 101)]), P, SIZE)
     return {r.frame_idx: r for r in out.collect()}
 
 
 def test_decision(spark):
     got = decided(spark, tear=(30,), border=(50, 51), lost=(70, 71, 72))
     assert len(got) == 120
-    assert got[30].tear_verdict == "confirmed" and got[30].content == 1 and not got[30].keep
-    assert got[50].content_reason == "border left" and not got[50].trusted and not got[50].auto_keep
+    assert got[30].tear_verdict == TEAR_REASONS["confirmed"] and got[30].content_reason == "pérdida temporal de fotosfera confirmada (36.8%)" and got[30].content == 1 and not got[30].keep
+    assert got[50].content_reason == "recorte real en left (acuerdo 0%)" and got[50].tear_verdict == TEAR_REASONS["border"] and not got[50].trusted and not got[50].auto_keep
     assert got[71].content == 2 and got[71].centering == 1 and got[71].keep  # bridged between anchors
     assert got[71].center_x == pytest.approx(107.1, abs=0.05) and got[71].regime == 1
     assert sorted(i for i, r in got.items() if not r.keep) == [30, 50, 51, 100, 101]
@@ -180,7 +180,8 @@ def test_queries_keep_every_frame(spark, sf_dir, name):
 
 
 def test_csv_has_the_columns_in_order(spark, sf_dir, tmp_path):
-    table = sinks.debug_table(policy.selection(queries.decisions_of(spark, sf_dir), [3], [4]))
+    manual = spark.createDataFrame([(1, 3, "drop")], "seq_id long, frame_idx long, action string")
+    table = sinks.debug_table(policy.selection(queries.decisions_of(spark, sf_dir), manual))
     assert table.columns == ["seq_id", *sinks.DEBUG] and len(sinks.TRACKING) == 81 and len(sinks.DEBUG) == 56
     sinks.write_csv(table, f"{tmp_path}/debug")
     back = spark.read.option("header", True).csv(f"{tmp_path}/debug")
