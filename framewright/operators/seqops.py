@@ -99,7 +99,7 @@ def with_islands(df: DataFrame, flag: str) -> DataFrame:
     changed = F.coalesce((F.col(flag) != F.lag(flag).over(by_frame())).cast("int"), F.lit(1))
     out = df.withColumn("run", F.sum(changed).over(rows(Window.unboundedPreceding, 0)))
     each = Window.partitionBy("seq_id", "run")
-    return out.withColumn("run_start", F.min("frame_idx").over(each)).withColumn("run_length", F.count(F.lit(1)).over(each))
+    return out.withColumns({"run_start": F.min("frame_idx").over(each), "run_length": F.count(F.lit(1)).over(each)})
 
 
 def runs(df: DataFrame, flag: str) -> DataFrame:
@@ -134,12 +134,13 @@ def exposure_drops(df: DataFrame, fps: float, least_drop: float = 0.08, noise_fa
     n = max(5, round(0.5 * fps))
     x = F.when(F.col("evaluable"), F.col("exposed"))
     past, future = F.collect_list(x).over(rows(-n, -1)), F.collect_list(x).over(rows(1, n))
-    out = df.withColumn("_past", past).withColumn("_future", future)
+    out = df.withColumns({"_past": past, "_future": future})
     base = F.least(array_median(F.col("_past")), array_median(F.col("_future")))
-    out = out.withColumn("baseline", F.when((F.size("_past") >= 3) & (F.size("_future") >= 3) & F.col("evaluable"), base))
-    out = out.withColumn("_both", F.concat("_past", "_future")).withColumn("noise", F.lit(1.4826) * array_mad(F.col("_both"))).withColumn("drop", F.col("baseline") - F.col("exposed"))
+    sides = (F.size("_past") >= 3) & (F.size("_future") >= 3) & F.col("evaluable")
+    out = out.withColumns({"baseline": F.when(sides, base), "noise": F.lit(1.4826) * array_mad(F.concat("_past", "_future"))})
+    out = out.withColumn("drop", F.col("baseline") - F.col("exposed"))
     gate = F.greatest(F.lit(least_drop), F.lit(noise_factor) * F.col("noise"))
-    return out.withColumn("candidate", true(F.col("drop") >= gate)).drop("_past", "_future", "_both")
+    return out.withColumn("candidate", true(F.col("drop") >= gate)).drop("_past", "_future")
 
 
 def isolated_tears(df: DataFrame, fps: float, longest: float = 0.067) -> DataFrame:
@@ -148,8 +149,8 @@ def isolated_tears(df: DataFrame, fps: float, longest: float = 0.067) -> DataFra
     if not fps > 0:
         raise ValueError("fps must be positive")
     out = with_islands(df.withColumn("_hit", F.col("candidate") & F.col("evaluable")), "_hit")
-    out = out.withColumn("run_length", F.when(F.col("_hit"), F.col("run_length")).otherwise(F.lit(0).cast("bigint")))
-    return out.withColumn("tear", F.col("_hit") & (F.col("run_length") / F.lit(fps) <= longest + 1e-9)).drop("_hit", "run", "run_start")
+    length = F.when(F.col("_hit"), F.col("run_length")).otherwise(F.lit(0).cast("bigint"))
+    return out.withColumns({"run_length": length, "tear": F.col("_hit") & (F.col("run_length") / F.lit(fps) <= longest + 1e-9)}).drop("_hit", "run", "run_start")
 
 
 def centering(df: DataFrame, fps: float, anchor: str = "anchor", support: Column | None = None, conflict: Column | None = None) -> DataFrame:
@@ -166,7 +167,7 @@ def centering(df: DataFrame, fps: float, anchor: str = "anchor", support: Column
     n = F.count(F.lit(1)).over(Window.partitionBy("seq_id"))
     between = F.format_string(R["neighbours"], F.coalesce(before, F.lit(-1)).cast("long"), F.coalesce(after, n).cast("long"))
     why = F.when(F.col(anchor), R["anchor"]).when(against, R["conflict"]).when(supported, R["support"]).when(near, between).otherwise(R["none"])
-    return df.withColumn("prev_anchor", before).withColumn("next_anchor", after).withColumn("centering", state).withColumn("centering_reason", why)
+    return df.withColumns({"prev_anchor": before, "next_anchor": after, "centering": state, "centering_reason": why})
 
 
 def trend_fraction(values: Column, rising: bool, slack: float) -> Column:
