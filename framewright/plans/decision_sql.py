@@ -192,7 +192,7 @@ lg AS (SELECT seq_id, m, median(abs(leap - m)) FILTER (WHERE leap > 0) AS s FROM
 d9 AS (SELECT d8.*, coalesce(greatest(20, m + 6 * s), 20) AS leap_gate FROM d8 JOIN lg USING (seq_id)),
 d10 AS (SELECT *, CAST(maximum < 8 AS INT) + CAST(response < 0.05 AS INT) + CAST(leap > leap_gate AS INT) + CAST(off_path > {4 * s} AS INT) AS corruption_signals FROM d9),
 d11 AS MATERIALIZED (SELECT *, corruption_signals >= 2 AS corrupt, CASE WHEN clipped THEN 1 WHEN corruption_signals >= 2 THEN 2 WHEN bright AND sound THEN 0 ELSE 2 END AS content,
- CASE WHEN tear THEN printf({quoted(_C["tear"])}, drop_ * 100) WHEN corruption_signals >= 2 THEN {quoted(_C["corrupt"])} WHEN bright AND sound THEN {quoted(_C["usable"])}
+ CASE WHEN tear THEN printf({quoted(_C["tear"])}, round(drop_ * 100, 1)) WHEN corruption_signals >= 2 THEN {quoted(_C["corrupt"])} WHEN bright AND sound THEN {quoted(_C["usable"])}
   ELSE concat_ws('; ', CASE WHEN NOT bright THEN printf({quoted(_C["dark"])}, maximum) END, CASE WHEN NOT sound THEN printf({quoted(_C["weak"])}, points) END) END AS content_reason,
  trusted AND regime = 0 AS direct, backup AND off_path > {max(4 * s, r / 2)} AND response < 0.05 AS against, backup OR (trusted AND regime <> 0) AS support FROM d10),
 e1 AS (SELECT *, max(CASE WHEN direct THEN frame_idx END) OVER {PAST} AS prev_anchor, min(CASE WHEN direct THEN frame_idx END) OVER {NEXT} AS next_anchor, count(*) OVER (PARTITION BY seq_id) AS n FROM d11),

@@ -51,6 +51,11 @@ def r6(*columns: str) -> list:
     return [F.round(c, 6).alias(c) for c in columns]
 
 
+def off_tie(*columns: str) -> list:
+    """Six digits of values that may end in a five: both sides add the same, so that neither is a tie."""
+    return [F.round(F.col(c) + F.lit(1e-9), 6).alias(c) for c in columns]
+
+
 @query("SELECT seq_id, frame_idx, k, evaluable, round(exposed, 6) AS exposed, round(raw_x, 6) AS raw_x, round(raw_y, 6) AS raw_y, round(response, 6) AS response, anchor FROM f")
 def frame_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_frames(spark, sf_dir).select("seq_id", "frame_idx", "k", "evaluable", *r6("exposed", "raw_x", "raw_y", "response"), "anchor")
@@ -202,7 +207,7 @@ _NAMES = "CASE content WHEN 0 THEN 'usable' WHEN 1 THEN 'clipped' ELSE 'uncertai
 
 
 @query(
-    f"""{_DECIDED} SELECT seq_id, frame_idx, {_NAMES}, CASE content WHEN 1 THEN CASE WHEN k % 2 = 0 THEN printf('{CONTENT_REASONS["tear"]}', (baseline - exposed) * 100)
+    f"""{_DECIDED} SELECT seq_id, frame_idx, {_NAMES}, CASE content WHEN 1 THEN CASE WHEN k % 2 = 0 THEN printf('{CONTENT_REASONS["tear"]}', round((baseline - exposed) * 100, 1))
  ELSE printf('{CONTENT_REASONS["border"]}', CASE k % 16 WHEN 0 THEN 'borde' ELSE concat_ws(', ', CASE WHEN k % 2 >= 1 THEN 'left' END, CASE WHEN k % 4 >= 2 THEN 'right' END, CASE WHEN k % 8 >= 4 THEN 'top' END, CASE WHEN k % 16 >= 8 THEN 'bottom' END) END, CAST(round_even(k / 100.0::double * 100, 0) AS INT)) END
  WHEN 0 THEN '{CONTENT_REASONS["usable"]}' ELSE CASE WHEN maximum >= 8 AND quality >= 0.1 THEN '{CONTENT_REASONS["unclear"]}' ELSE concat_ws('; ', CASE WHEN maximum < 8 THEN printf('{CONTENT_REASONS["dark"]}', maximum) END, CASE WHEN quality < 0.1 THEN printf('{CONTENT_REASONS["weak"]}', k) END) END END AS reason, centering_reason, keep FROM d"""
 )
@@ -631,9 +636,9 @@ def trusted_geometry(spark, sf_dir):
 _TRACKED = ("contrast_x", "contrast_y", "contrast_score", "offset_x", "offset_y", "sample_x", "sample_y", "fallback_innovation")
 
 
-@query(f", {D.CONTRAST} SELECT seq_id, frame_idx, {', '.join(f'round({c}, 6) AS {c}' for c in _TRACKED)}, reanchored, supported, fallback_mode FROM co")
+@query(f", {D.CONTRAST} SELECT seq_id, frame_idx, {', '.join(f'round({c} + 1e-9::double, 6) AS {c}' for c in _TRACKED)}, reanchored, supported, fallback_mode FROM co")
 def contrast_track(spark, sf_dir):
-    return contrasted(spark, sf_dir).select("seq_id", "frame_idx", *r6(*_TRACKED), "reanchored", "supported", "fallback_mode")
+    return contrasted(spark, sf_dir).select("seq_id", "frame_idx", *off_tie(*_TRACKED), "reanchored", "supported", "fallback_mode")
 
 
 def decisions_of(spark, sf_dir) -> DataFrame:
@@ -647,9 +652,9 @@ _DECISIONS = (
 )
 
 
-@query(f", {D.DECIDED} SELECT seq_id, frame_idx, {', '.join(c for c in _DECISIONS if c != 'cut')}, margin < -0.75 AS cut, round(center_x, 6) AS center_x, round(center_y, 6) AS center_y, round(margin, 6) AS margin FROM de")
+@query(f", {D.DECIDED} SELECT seq_id, frame_idx, {', '.join(c for c in _DECISIONS if c != 'cut')}, margin < -0.75 AS cut, round(center_x + 1e-9::double, 6) AS center_x, round(center_y + 1e-9::double, 6) AS center_y, round(margin + 1e-9::double, 6) AS margin FROM de")
 def decisions(spark, sf_dir):
-    return decisions_of(spark, sf_dir).select("seq_id", "frame_idx", *_DECISIONS, *r6("center_x", "center_y", "margin"))
+    return decisions_of(spark, sf_dir).select("seq_id", "frame_idx", *_DECISIONS, *off_tie("center_x", "center_y", "margin"))
 
 
 #: The files' columns in the SQL of the decisions; columns that the frames lack have the files' defaults.
@@ -679,13 +684,13 @@ def _file_sql(names: list[str]) -> str:
         elif n in sinks.FLAGS:
             made = f"CAST({made} AS INTEGER)"
         elif not text and n != "frame":
-            made = f"round(CAST(coalesce({made}, 0) AS DOUBLE), 6)" if n in sinks.ZERO else f"round(CAST({made} AS DOUBLE), 6)"
+            made = f"round(CAST({f'coalesce({made}, 0)' if n in sinks.ZERO else made} AS DOUBLE) + 1e-9::double, 6)"
         out.append(f"{made} AS {n}")
     return "SELECT seq_id, " + ", ".join(out)
 
 
 def _rounded(table: DataFrame) -> DataFrame:
-    return table.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in table.schema])
+    return table.select(*[off_tie(f.name)[0] if f.dataType.typeName() == "double" else F.col(f.name) for f in table.schema])
 
 
 @query(f", {D.SELECTED} {_file_sql(sinks.DEBUG)} FROM se")
