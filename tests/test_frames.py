@@ -19,7 +19,18 @@ def norm(v):
     return f"{float(v):.5f}".replace("-0.00000", "0.00000") if isinstance(v, float) or hasattr(v, "as_tuple") else str(v)
 
 
+@pytest.fixture(scope="module")
+def decided_once(spark, sf_dir):
+    """The decisions of the events, which many queries show, are made once."""
+    made = queries.decisions_of(spark, sf_dir).cache()
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (queries, limb_queries):
+            patch.setattr(module, "decisions_of", lambda *_: made)
+        yield made
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.usefixtures("decided_once")
 def test_same_as_sql(spark, sf_dir, name):
     import duckdb
 

@@ -121,11 +121,26 @@ def test_stream_gives_the_same_whatever_the_order(spark, frames, tmp_path):
         part = rows[i::4] + (rows[:1] if i == 3 else [])
         spark.createDataFrame(part, frames.schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
     source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
-    made = stream.geometry_stream(source, P, SIZE).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    made = stream.geometry_stream(source, P, SIZE, 256).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
     assert made.awaitTermination(180)
     added = [n for n, _ in track.Geometry.ADDED]
     got = [((r.seq_id, r.frame_idx), tuple(r[c] for c in added)) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert len(got) == len(want) and dict(got) == want
+    assert spark.read.parquet(f"{tmp_path}/out").filter("late").count() == 0
+
+
+def test_late_frames_are_rows_of_their_own(spark, frames, tmp_path):
+    rows = sorted((r for r in moving() if r[0] == moving()[0][0]), key=lambda r: r[1])[:8]
+    order = [rows[0], rows[3], rows[4], rows[5], rows[1], rows[4], rows[6], rows[1]]  # 1 and 2 are lost, 1 comes late and then again
+    for i, row in enumerate(order):
+        spark.createDataFrame([row], frames.schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+    source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    made = stream.geometry_stream(source, P, SIZE, 2).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    assert made.awaitTermination(180)
+    out = sorted((r.frame_idx, r.late) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert out == [(0, False), (1, True), (3, False), (4, False), (5, False), (6, False)]
+    gaps = [[2, 5], [7, 8]]
+    assert [stream.taken_out(gaps, i) for i in (3, 3, 7, 9)] == [True, False, True, False] and gaps == [[2, 3], [4, 5]]
 
 
 def test_lost_frames_don_t_block_a_stream():
@@ -171,12 +186,11 @@ def test_trusted_geometry_leaves_out_single_outliers(spark):
     assert sorted(i for i in got if got[i][0]) == [0, 1, 2, 3, 4, 6, 7, 9, 10, 11]
 
 
-@pytest.mark.parametrize("name", ["trusted_geometry", "contrast_track", "decisions", "debug_csv"])
+@pytest.mark.parametrize("name", ["trusted_geometry", "contrast_track"])
 def test_queries_keep_every_frame(spark, sf_dir, name):
     rows = queries.QUERIES[name](spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    place = ("seq_id", "frame") if name == "debug_csv" else ("seq_id", "frame_idx")
-    assert len({tuple(r[c] for c in place) for r in rows}) == len(rows)
+    assert len({(r.seq_id, r.frame_idx) for r in rows}) == len(rows)
 
 
 def test_csv_has_the_columns_in_order(spark, sf_dir, tmp_path):
