@@ -43,7 +43,7 @@ from .common import arrow_rows, cut, new_dir
 
 END_ID = 2
 #: Bytes of text for a file, at least where there are cores to spare, and at most.
-LEAST, MOST = 4 << 20, 512 << 20
+LEAST, MOST = 4 << 20, 128 << 20
 DOCS_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(2**63)
 FRAMES = "doc_id long, n_tokens long, ids_crc32 long, checksum long, frame binary, part int"
