@@ -703,9 +703,14 @@ def tracking_csv(spark, sf_dir):
     return _rounded(sinks.tracking_table(decisions_of(spark, sf_dir)))
 
 
-@query(", n AS (SELECT seq_id, count(*) AS n FROM f GROUP BY seq_id) SELECT n.seq_id, CAST(floor(i * (n - 1) / 15) AS BIGINT) AS frame, round(raw_x, 6) AS cx, round(raw_y, 6) AS cy, round(quality, 6) AS quality, NULL::double AS coverage_deg, NULL::double AS median_residual, NULL::double AS threshold, 0 AS touch FROM (SELECT DISTINCT n.seq_id, CAST(floor(i * (n - 1) / 15) AS BIGINT) AS i FROM n, range(16) AS t(i)) AS n JOIN f ON f.seq_id = n.seq_id AND f.frame_idx = n.i".replace("CAST(floor(i * (n - 1) / 15) AS BIGINT) AS frame, round", "f.frame_idx AS frame, round"))
+@query(
+    """, n AS (SELECT seq_id, count(*) AS n FROM f GROUP BY seq_id), i AS (SELECT DISTINCT n.seq_id, CAST(floor(i * (n - 1) / 15) AS BIGINT) AS i FROM n, range(16) AS t(i))
+SELECT i.seq_id, f.frame_idx AS frame, round(raw_x, 6) AS cx, round(raw_y, 6) AS cy, round(quality, 6) AS quality, k * 4.0::double AS coverage_deg, k / 20.0::double AS median_residual, 0.5::double * k AS threshold, CAST(k > 97 AS INTEGER) AS touch
+FROM i JOIN f ON f.seq_id = i.seq_id AND f.frame_idx = i.i"""
+)
 def detections_csv(spark, sf_dir):
-    return sinks.detection_table(systematic(load_frames(spark, sf_dir), 16).withColumns({c: F.round(c, 6) for c in ("raw_x", "raw_y", "quality")}))
+    f = systematic(measured(spark, sf_dir), 16).withColumn("threshold", F.lit(0.5) * F.col("k"))
+    return sinks.detection_table(f.withColumns({c: F.round(c, 6) for c in ("raw_x", "raw_y", "quality")}))
 
 
 @query(
