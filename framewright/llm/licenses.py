@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import letter_words, probe
 
 DRIFT, SEED_SHARE, COVER = 3, 0.25, 0.8
-#: Words of a k-gram of notices and phrases, and of texts of ``LONG`` words or more.
+#: Words of a k-gram of notices and phrases, and of texts of ``LONG`` words or more (see ``_with_grams``).
 GRAM, LONG_GRAM, LONG = 2, 5, 40
 #: Phrases that count wherever their words stand consecutively (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -100,12 +100,22 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
 
 
-def _gram(words: Column, at: Column, k: int) -> Column:
-    return F.xxhash64(F.lit(k), F.slice(words, at, F.lit(k)))
+def _zipped(a: Column, b: Column, shift: int) -> Column:
+    """A hash of each number of ``a`` and the one ``shift`` places further on in ``b``, as far as ``b`` goes."""
+    n = F.greatest(F.size(b) - shift, F.lit(0))
+    return F.slice(F.zip_with(a, F.slice(b, F.lit(shift + 1), F.greatest(n, F.lit(1))), lambda x, y: F.xxhash64(x, y)), F.lit(1), n)
+
+
+def _with_grams(rows: DataFrame) -> DataFrame:
+    """``two`` and ``five``: hashes of all pairs and runs of five of ``words``; each word is hashed once."""
+    rows = rows.withColumn("one", F.transform("words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("two", _zipped(F.col("one"), F.col("one"), 1))
+    rows = rows.withColumn("four", _zipped(F.col("two"), F.col("two"), 2))
+    return rows.withColumn("five", _zipped(F.col("four"), F.col("one"), 4)).drop("one", "four")
 
 
 def templates(spark, phrases: dict, notices: dict, texts: dict) -> DataFrame:
-    """hash, template, j, k, grams, length, label and exact of every k-gram of the templates."""
+    """j, hash, template, k, grams, length, label and exact of every k-gram of the templates."""
     rows = []
     for exact, group in ((True, phrases), (False, notices), (False, {t: label for label, t in texts.items()})):
         for text, label in group.items():
@@ -113,9 +123,10 @@ def templates(spark, phrases: dict, notices: dict, texts: dict) -> DataFrame:
             k = GRAM if exact or len(words) < LONG else LONG_GRAM
             if len(words) < k:
                 raise ValueError(f"a template has {k} words at least: {text!r}")
-            rows += [(words[j : j + k], len(rows), j, k, len(words) - k + 1, len(words), label, exact) for j in range(len(words) - k + 1)]
-    known = spark.createDataFrame(rows, "words array<string>, template long, j int, k int, grams int, length int, label string, exact boolean")
-    return known.select(F.xxhash64("k", "words").alias("hash"), "template", "j", "k", "grams", "length", "label", "exact")
+            rows.append((words, len(rows), k, len(words) - k + 1, len(words), label, exact))
+    known = spark.createDataFrame(rows, "words array<string>, template long, k int, grams int, length int, label string, exact boolean")
+    grams = F.when(F.col("k") == GRAM, F.col("two")).otherwise(F.col("five"))
+    return _with_grams(known).select(F.posexplode(grams).alias("j", "hash"), "template", "k", "grams", "length", "label", "exact")
 
 
 def scan(docs: DataFrame, phrases: dict | None = None, notices: dict | None = None, texts: dict | None = None) -> DataFrame:
@@ -126,16 +137,12 @@ def scan(docs: DataFrame, phrases: dict | None = None, notices: dict | None = No
     match = "struct<i:int,hash:bigint>"
     head = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("long").alias("hash")).cast(match)
 
-    def grams(k: int) -> Column:
+    def grams(name: str) -> Column:
         """The k-grams of the text that may be in a template."""
-        starts = F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k)).otherwise(F.array().cast("array<int>"))
-
-        def one(i):
-            return F.transform(F.array(_gram(F.col("words"), i + 1, k)), lambda h: F.when(maybe(h), F.struct(i.alias("i"), h.alias("hash")).cast(match)))[0]
-
-        return F.array_compact(F.transform(starts, one))
+        return F.array_compact(F.transform(name, lambda h, i: F.when(maybe(h), F.struct(i.alias("i"), h.alias("hash")).cast(match))))
 
-    each = words.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(F.array(head), grams(GRAM), grams(LONG_GRAM))).alias("x")).select("row", "doc_id", "n_words", "x.*")
+    hashed = _with_grams(words.withColumn("n_words", F.size("words").cast("long")))
+    each = hashed.select("row", "doc_id", "n_words", F.explode(F.concat(F.array(head), grams("two"), grams("five"))).alias("x")).select("row", "doc_id", "n_words", "x.*")
     known = F.broadcast(table)  # as many rows as the templates have words
     votes = each.join(known, "hash", "left").filter("i < 0 or template is not null")
     by = ("row", "doc_id", "n_words", "template", "label", "exact", "k", "grams", "length")
