@@ -138,9 +138,17 @@ def output_name(path: Column) -> Column:
     return F.concat(F.when(plain == "", "video").otherwise(plain), F.lit("_"), F.substring(F.sha2(path, 256), 1, 8), F.lit("_output"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with ``digits`` after the point, as ``printf`` has it: by its exact value, halves to even.
+
+    ``format_string`` rounds halves up, and by the shortest text of the number.
+    """
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits))
+
+
 def sequence_text(frames: Column, fps: Column, duration: Column, exact: Column) -> Column:
     """A sequence's figures as one line."""
-    line = F.format_string("%d frames, %.3f fps, %.2f s", frames.cast("long"), fps.cast("double"), duration.cast("double"))
+    line = F.format_string("%d frames, %s fps, %s s", frames.cast("long"), fixed(fps, 3), fixed(duration, 2))
     return F.concat(line, F.when(exact, "").otherwise(" (metadatos provisionales; cadencia/conteo sin verificar)"))
 
 

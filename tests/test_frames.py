@@ -66,6 +66,12 @@ def test_figures_beside_a_half_read_as_in_sql(spark, tie_dir, name, column):
     assert sorted(r[column] for r in queries.QUERIES[name](spark, tie_dir).select(column).collect()) == want
 
 
+@pytest.mark.parametrize(("n", "fps", "want"), [(3, 24.0, "3 frames, 24.000 fps, 0.12 s"), (87, 24.0, "87 frames, 24.000 fps, 3.62 s"), (9, 24.0, "9 frames, 24.000 fps, 0.38 s"), (4000, 1.0, "4000 frames, 1.000 fps, 4000.00 s"), (5, 24.0625, "5 frames, 24.062 fps, 0.21 s")])
+def test_halves_in_a_sequence_s_line_go_to_even(spark, n, fps, want):
+    line = parse.sequence_text(F.lit(n), F.lit(fps), F.lit(n) / F.lit(fps), F.lit(True))
+    assert spark.range(1).select(line.alias("line")).first().line == want
+
+
 def seq(spark, **columns):
     n = len(next(iter(columns.values())))
     rows = [(1, i, *[c[i] for c in columns.values()]) for i in range(n)]
