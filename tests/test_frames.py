@@ -56,7 +56,7 @@ def tie_dir(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize(("name", "column"), [("debug_csv", "content_reason"), ("decision_table", "reason"), ("decisions", "content_reason"), ("tracking_csv", "content_reason")])
+@pytest.mark.parametrize(("name", "column"), [("debug_csv", "content_reason"), ("decision_table", "reason"), ("decisions", "content_reason"), ("tracking_csv", "content_reason"), ("overlay_lines", "line_2")])
 def test_figures_beside_a_half_read_as_in_sql(spark, tie_dir, name, column):
     import duckdb
 
