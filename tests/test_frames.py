@@ -72,6 +72,34 @@ def test_halves_in_a_sequence_s_line_go_to_even(spark, n, fps, want):
     assert spark.range(1).select(line.alias("line")).first().line == want
 
 
+@pytest.fixture(scope="module")
+def repeated_dir(tmp_path_factory):
+    """Users whose events come twenty times over, each twenty in a row or all again 400 days later; closures of theirs stand at the gate."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("repeated")
+    source = "'/root/testdata/sf0.001/events.parquet'"
+    duckdb.sql(f"""COPY (SELECT event_id + i * 1000000 AS event_id, ts, user_id, event_type, value, props FROM {source}, range(20) t(i) WHERE user_id IN (8, 12)
+ UNION ALL SELECT event_id + i * 1000000, ts + INTERVAL (i * 400) DAY, user_id + 100, event_type, value, props FROM {source}, range(20) t(i) WHERE user_id IN (3, 9)) TO '{folder}/events.parquet' (FORMAT parquet)""")
+    return str(folder)
+
+
+def test_report_at_the_gate_is_that_of_exact_sums(spark, repeated_dir):
+    """The SQL's own sums of doubles depend on where rows stand, so they are made exact here."""
+    import duckdb
+
+    sql = queries.SQL["analysis_report"]
+    for c in ("rel_x", "rel_y"):
+        summed = f"sum({c}) OVER {queries.D.PAST}"
+        assert summed in sql
+        sql = sql.replace(summed, f"CAST(sum(CAST({c} AS DECIMAL(38, 18))) OVER {queries.D.PAST} AS DOUBLE)")
+    duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{repeated_dir}/events.parquet'")
+    want = duckdb.sql(sql)
+    got = queries.QUERIES["analysis_report"](spark, repeated_dir)
+    place = [want.columns.index(c) for c in got.columns]
+    assert sorted(tuple(map(norm, r)) for r in got.collect()) == sorted(tuple(norm(r[i]) for i in place) for r in want.fetchall())
+
+
 def seq(spark, **columns):
     n = len(next(iter(columns.values())))
     rows = [(1, i, *[c[i] for c in columns.values()]) for i in range(n)]
