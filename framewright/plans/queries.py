@@ -53,7 +53,7 @@ def r6(*columns: str) -> list:
 
 def off_tie(*columns: str) -> list:
     """Six digits of values that may end in a five: both sides add the same, so that neither is a tie."""
-    return [F.round(F.col(c) + F.lit(1e-9), 6).alias(c) for c in columns]
+    return [policy.rounded(F.col(c) + F.lit(1e-9), 6).alias(c) for c in columns]
 
 
 @query("SELECT seq_id, frame_idx, k, evaluable, round(exposed, 6) AS exposed, round(raw_x, 6) AS raw_x, round(raw_y, 6) AS raw_y, round(response, 6) AS response, anchor FROM f")

@@ -72,6 +72,15 @@ def test_halves_in_a_sequence_s_line_go_to_even(spark, n, fps, want):
     assert spark.range(1).select(line.alias("line")).first().line == want
 
 
+def test_values_off_a_tie_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    values = [131.783708499, -131.783708501, 0.0, -0.0000005, 1.25, 100.0000005, None]
+    want = [r for (r,) in duckdb.sql(f"SELECT round(v + 1e-9::double, 6) FROM (VALUES {', '.join(f'({i}, CAST({'NULL' if v is None else repr(v)} AS DOUBLE))' for i, v in enumerate(values))}) t(i, v) ORDER BY i").fetchall()]
+    assert want[0] == 131.783708
+    assert [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(*queries.off_tie("v")).collect()] == want
+
+
 @pytest.fixture(scope="module")
 def repeated_dir(tmp_path_factory):
     """Users whose events come twenty times over, each twenty in a row or all again 400 days later; closures of theirs stand at the gate."""
